@@ -68,7 +68,7 @@ def sainte_lague(claims: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, shard_words: int = 4_000_000, max_shards: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, shard_words: int = 50_000, max_shards: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *carry, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
 
     Weights go to the sources in code-point order, over and over. The driver sees a row for each shard:
