@@ -22,9 +22,10 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 _STEPS = (
     (r"(?s)<!--.*?(?:-->|\z)", ""),
     (r"(?is)<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\z)", ""),
+    (r"[ \t\r\n\f\x0B]+", " "),
     (rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
-    (r"[ \t\r\f\x0B]+", " "),
+    (r" +", " "),
     (r" ?\n[ \n]*", "\n"),
 )
 
