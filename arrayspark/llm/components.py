@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import map_batches, stored
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
     links is no group that a task must hold; the number of steps grows with the logarithm of a path.
     """
     schema = "a long, b long"
-    links = stored(links.where("a <> b").mapInArrow(_local, schema), "links")
+    links = stored(map_batches(links.where("a <> b"), _local, schema), "links")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -69,5 +69,5 @@ def components(links: DataFrame) -> DataFrame:
         # now a > b in every row: small star of a node u is its rows (u, *)
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        links = stored(small.select("a", "b").mapInArrow(_local, schema), "links")
+        links = stored(map_batches(small.select("a", "b"), _local, schema), "links")
     return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

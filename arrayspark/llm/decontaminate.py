@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_batches
 from .textblocks import NOT_WORD, buffers, mix, seeds, slices, span_hashes, tokens
 
 _U = np.uint64
@@ -197,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, max_
                     rest = [pa.array([index.ids[m[1]] for m in hits], pa.int64()), pa.array([len(index.items[m[1]]) for m in hits], pa.int64()), *(pa.array([m[k] for m in hits], pa.int64()) for k in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "n_words", "distance", "start_word", "end_word"])
 
-        found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long")
+        found = map_batches(docs.select("doc_id", "text"), find, "doc_id long, item_id long, n_words long, distance long, start_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -213,5 +214,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, max
                 keep[[m[0] for m in index.matches(*buffers(part.column(part.schema.get_field_index("text"))))]] = False
                 yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, out.schema)
+        out = map_batches(out, clean, out.schema)
     return out

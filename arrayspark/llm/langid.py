@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, map_batches
 from .textblocks import buffers, slices
 
 WINDOW = 64
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, per_language: int = 400, windows: int = 6, **options) -
                     out.append(text[at : at + WINDOW].tobytes().ljust(WINDOW))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["id", "lang", "w"])
 
-    got = chosen.select("doc_id", "lang", "text").mapInArrow(cut, "id long, lang string, w binary").toArrow().sort_by([("id", "ascending"), ("w", "ascending")])
+    got = map_batches(chosen.select("doc_id", "lang", "text"), cut, "id long, lang string, w binary").toArrow().sort_by([("id", "ascending"), ("w", "ascending")])
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 score[known] = np.clip(prob[np.arange(len(best)), best], 0, 1)[known]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import map_batches
+
 # ---------------------------------------------------------------- validators: length from the first byte, or None
 
 
@@ -160,7 +162,7 @@ def sniff(blobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             media = pa.array([[{"type": t, "at": a, "length": n} for t, a, n in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(actual, pa.string()), media], names=[*carry, "declared", "actual", "media"])
 
-    return blobs.select(*carry, "declared", "blob").mapInArrow(look, schema)
+    return map_batches(blobs.select(*carry, "declared", "blob"), look, schema)
 
 
 # ---------------------------------------------------------------- texts as media
@@ -241,4 +243,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, schema)
+    return map_batches(docs.select("doc_id", "text"), digest, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import IdFilter, stored
+from .shared import IdFilter, map_batches, stored
 from .textblocks import BLANK, buffers, int64, mix, runs, seeds, slices, span_hashes, tokens
 
 _U = np.uint64
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     bucket, whatever its size; the share of links it can miss is measured in the README.
     """
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_signer(words, size, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = stored(map_batches(docs, _signer(words, size, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = stored(signed.drop("bands").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
 def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots: int) -> DataFrame:
     """(node, root) over the classes in ``buckets``, by passes of comparisons with centres."""
     filt = IdFilter(buckets.select("doc_id").distinct(), "doc_id")
-    sets = stored(docs.select("doc_id", "text", *filt.spots("doc_id")).mapInArrow(_shingler(words, filt.keep), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+    sets = stored(map_batches(docs.select("doc_id", "text", *filt.spots("doc_id")), _shingler(words, filt.keep), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
     root = links = tested = None
     step = 0
     while True:
@@ -202,7 +202,7 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        new = stored(texts.select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long"), "verified")
+        new = stored(map_batches(texts.select("a", "b", "x", "y"), _verifier(percent), "a long, b long"), "verified")
         if root is not None and new.isEmpty():
             return root
         links = new if links is None else links.union(new)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_batches
 from .textblocks import buffers, slices
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "handle")
@@ -204,7 +205,7 @@ def fit(docs: DataFrame) -> SpanModel | None:
                     seen[votes + features] += 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k array<int>, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select("text"), count, "k array<int>, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     cut = len(LABELERS)
     return train([(tuple(r["k"][:cut]), tuple(r["k"][cut:]), r["n"]) for r in rows])
 
@@ -230,7 +231,7 @@ def find(docs: DataFrame, model: SpanModel | None) -> DataFrame:
                 found[i] = [{"kind": s[0], "start": s[1], "stop": s[2], "fixed": s in fixed} for s in every]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(mark, schema)
+    return map_batches(docs.select("doc_id", "text"), mark, schema)
 
 
 def replace(text: str, spans: list[Span]) -> str:
@@ -264,4 +265,4 @@ def redact(docs: DataFrame, model: SpanModel | None) -> DataFrame:
                 part = pa.RecordBatch.from_arrays(columns, names=names)
             yield part
 
-    return docs.mapInArrow(change, docs.schema)
+    return map_batches(docs, change, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import labelled_sample
+from .shared import labelled_sample, map_batches
 from .textblocks import BLANK, BYTE_LOWER, buffers, runs, slices, span_hashes, tokens
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 11, 12, 13, 32), "high": range(128, 256), "stop": b".,;:?", "mark": b"!|*#%&$~^_=<>{}[]@\\/+", "bang": b"!", "pipe": b"|"}
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, lines: int = 200_0
             small = np.diff(first) <= lines // 10
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cells], names=["doc_id", "label", "x"]).filter(pa.array(small))
 
-    got = labelled_sample(docs, labels, rows, 5, 0).mapInArrow(described, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    got = map_batches(labelled_sample(docs, labels, rows, 5, 0), described, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
     cells = got.column("x").combine_chunks() if got.num_rows else None
     size = np.diff(cells.offsets.to_numpy()) // N_OWN if cells is not None else np.zeros(0, np.int64)
     keep = int(np.searchsorted(np.cumsum(size), lines, "right"))
@@ -213,4 +213,4 @@ def quality(docs: DataFrame, field: LineField) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(field.scores(*buffers(part.column(1))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    return map_batches(docs.select("doc_id", "text"), score, "doc_id long, score double")

@@ -27,6 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches carry whole texts, so their bytes are bounded, not their rows: a task holds a few of these at once.
+BATCH_BYTES = "4m"
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of about 4 MB (one text may be longer); the bound is a setting of the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,4 +87,4 @@ class IdFilter:
         return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(self.bits)).alias(f"_spot{k}") for k in (1, 2)]
 
 
-__all__ = ["IdFilter", "held_out", "labelled_sample", "seeds", "shared_dir", "stored", "table"]
+__all__ = ["IdFilter", "held_out", "labelled_sample", "map_batches", "seeds", "shared_dir", "stored", "table"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import labelled_sample
+from .shared import labelled_sample, map_batches
 from .textblocks import NOT_WORD, buffers, runs, mix, seeds, slices, span_hashes, tokens
 
 _U = np.uint64
@@ -119,21 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, bits: int = 20, **
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), lists], names=["doc_id", "label", "x"])
 
-    sample = labelled_sample(docs, labels, rows, 5, 0).mapInArrow(hashed, "doc_id long, label int, x array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    sample = map_batches(labelled_sample(docs, labels, rows, 5, 0), hashed, "doc_id long, label int, x array<int>").toArrow().sort_by([("doc_id", "ascending")])
     lists = sample.column("x").combine_chunks() if sample.num_rows else []
-    found = [(lists[i].values.to_numpy().astype(np.int64), int(y)) for i, y in enumerate(sample.column("label").to_pylist())]
+    found = [(lists[i].values.to_numpy(), int(y)) for i, y in enumerate(sample.column("label").to_pylist())]
     return train_ftrl(without_copies(found), bits, **options)
 
 
 def toxicity(docs: DataFrame, model: Ftrl, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) and ``score``: the chance that a text is toxic."""
     columns = docs.columns if keep is None else keep
-    rows = docs.select(*columns, F.col("text").alias("_scored"))
-    schema = rows.drop("_scored").schema.add("score", "double")
+    rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
+    at, n = rows.columns.index("text"), len(columns)
+    schema = docs.select(*columns).schema.add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_scored", 1 << 19):
-            s = model.scores(*buffers(part.column(part.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], names=[*columns, "score"])
+        for part in slices(batches, "text", 1 << 19):
+            s = model.scores(*buffers(part.column(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], names=[*columns, "score"])
 
-    return rows.mapInArrow(score, schema)
+    return map_batches(rows, score, schema)
