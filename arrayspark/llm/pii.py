@@ -36,7 +36,7 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # always matches a run of digits whole, so none is read twice
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
