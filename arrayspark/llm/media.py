@@ -20,6 +20,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .shared import map_batches
 
@@ -150,7 +151,8 @@ def sniff(blobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ``actual`` is the type of a blob that is one confirmed medium, else what was declared.
     """
     kind = pa.list_(pa.struct([("type", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
-    schema = blobs.select(*carry, "declared").schema.add("actual", "string").add("media", "array<struct<type:string,at:long,length:long>>")
+    item = T.StructType().add("type", "string").add("at", "long").add("length", "long")
+    schema = blobs.select(*carry, "declared").schema.add("actual", "string").add("media", T.ArrayType(item))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()

@@ -164,7 +164,7 @@ def train_field(own: np.ndarray, first: np.ndarray, label: np.ndarray, steps: in
     share = float(label.mean()) if len(label) else 0.5
     mean, scale = (own.mean(axis=0), own.std(axis=0) + 1e-3) if len(own) else (np.zeros(N_OWN), np.ones(N_OWN))
     zero = np.zeros(3 * N_OWN + 1)
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         return LineField(mean, scale, zero, np.zeros((2, 2)), share)
     field = LineField(mean, scale, zero, np.zeros((2, 2)))
     x = with_neighbours(field._scaled(own), first)

@@ -48,8 +48,8 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+    if "up" not in _powers or len(_powers["up"]) < n:
+        size = 1 << max(16, int(max(n, 1) - 1).bit_length())
         inverse = pow(int(_MULT), -1, 1 << 64)
         for key, base in (("up", int(_MULT)), ("down", inverse)):
             steps = np.full(size, base, dtype=_U)

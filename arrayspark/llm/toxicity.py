@@ -79,7 +79,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 2.0
     The L1 term grows with the number of rows unless it is given: what one text or a few copies of it
     have in common must not get a weight.
     """
-    l1 = max(0.5, 0.003 * len(rows)) if l1 is None else l1
+    l1 = max(2.0, 0.003 * len(rows)) if l1 is None else l1
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     positive = sum(y for _, y in rows)
@@ -125,16 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, bits: int = 20, **
     return train_ftrl(without_copies(found), bits, **options)
 
 
-def toxicity(docs: DataFrame, model: Ftrl, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default) and ``score``: the chance that a text is toxic."""
-    columns = docs.columns if keep is None else keep
+def toxicity(docs: DataFrame, model: Ftrl, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) and, as ``name``, the chance that a text is toxic; a column of that name is replaced."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c != name]
     rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
     at, n = rows.columns.index("text"), len(columns)
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
             s = model.scores(*buffers(part.column(at)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], names=[*columns, name])
 
     return map_batches(rows, score, schema)

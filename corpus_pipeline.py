@@ -13,8 +13,7 @@ from arrayspark.llm.shared import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; null and empty texts stay."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    names = docs.columns
-    return toxicity.toxicity(docs, toxicity.fit(docs, labels)).where("score < 0.5").select(*names)
+    return toxicity.toxicity(docs, toxicity.fit(docs, labels), name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
