@@ -6,8 +6,10 @@ bits wide and wrap; f32 sums are added up as doubles and rounded once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,7 @@ def _aggregate(func: str, v: Column, kind: DType, out: DType, correction: float,
     if base == "prod":
         if kind.floating:
             return F.coalesce(F.product(use), F.lit(1.0))
-        # modulo 2**64 as halves of 32 bits would be exact but long; products fold in decimals that wrap at each step
-        one = F.lit("1").cast("decimal(38,0)")
-        low = F.lit(str(1 << 64)).cast("decimal(38,0)")
-        return ieee.wrap(F.aggregate(F.collect_list(use.cast("decimal(20,0)")), one, lambda a, b: _mulmod(a, b, low)), out)
+        return F.lit(1)  # products of whole numbers are made in two steps, see below
     if base in ("max", "min"):
         pick = F.max if base == "max" else F.min
         if kind.kind == "b":
@@ -83,15 +82,45 @@ def _aggregate(func: str, v: Column, kind: DType, out: DType, correction: float,
     return F.coalesce(F.bool_and(hit), F.lit(True)) if base == "all" else F.coalesce(F.bool_or(hit), F.lit(False))
 
 
-def _mulmod(a: Column, b: Column, two64: Column) -> Column:
-    """a * b modulo 2**64 in decimals: b's halves of 32 bits keep each product below 10**38."""
-    half = F.lit(str(1 << 32)).cast("decimal(38,0)")
-    b = F.pmod(b.cast("decimal(38,0)"), two64)
-    low = F.pmod(b, half)
-    high = ((b - low) / half).cast("decimal(20,0)")
-    step = F.pmod((a.cast("decimal(20,0)") * high.cast("decimal(10,0)")).cast("decimal(38,0)"), two64)
-    shifted = F.pmod((step.cast("decimal(20,0)") * half.cast("decimal(10,0)")).cast("decimal(38,0)"), two64)
-    return F.pmod(shifted + (a.cast("decimal(20,0)") * low.cast("decimal(10,0)")).cast("decimal(38,0)"), two64).cast("decimal(38,0)")
+def _fold(parts: Column, out: DType) -> Column:
+    """The product modulo 2**64 of an array of whole numbers: each step multiplies by halves of 32 bits, in decimals."""
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    two64, half = big(1 << 64), F.lit(str(1 << 32)).cast("decimal(10,0)")
+
+    def times(a: Column, b: Column) -> Column:
+        b = F.pmod(b.cast("decimal(38,0)"), two64)
+        low = F.pmod(b, big(1 << 32))
+        high = ((b - low) / big(1 << 32)).cast("decimal(10,0)")
+        a = a.cast("decimal(20,0)")
+        shifted = F.pmod((F.pmod((a * high).cast("decimal(38,0)"), two64).cast("decimal(20,0)") * half).cast("decimal(38,0)"), two64)
+        return F.pmod(shifted + (a * low.cast("decimal(10,0)")).cast("decimal(38,0)"), two64).cast("decimal(38,0)")
+
+    return ieee.wrap(F.aggregate(parts, big(1), times), out)
+
+
+def _partial_products(keys: list[str]):
+    """Products modulo 2**64 within a task: a row for each key that it has read, so a long axis stays no list."""
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not keys:
+            return pd.DataFrame({"v": [np.multiply.reduce(pdf["v"].to_numpy())]})
+        pdf = pdf.sort_values(keys, kind="stable", ignore_index=True)
+        new = (pdf[keys].ne(pdf[keys].shift())).any(axis=1).to_numpy()
+        at = np.flatnonzero(new)
+        return pdf.loc[at, keys].assign(v=np.multiply.reduceat(pdf["v"].to_numpy(), at)).reset_index(drop=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if len(pdf):
+                held = merged(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+            if held is not None and len(held) > 200_000:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return run
 
 
 def reduce(a: NDArray, func: str, axis: int | Sequence[int] | None = None, oneshot: bool = True, correction: float = 0.0, compat_correction: bool = False) -> NDArray:
@@ -121,5 +150,12 @@ def reduce(a: NDArray, func: str, axis: int | Sequence[int] | None = None, onesh
         raise ArrayError(f"{func} of no cells")
     value = _aggregate(func, a.value, a.dtype, out, correction, [a.shape[k] for k in axes] if compat_correction else None)
     keys = [a.coords[k].alias(f"i{j}") for j, k in enumerate(kept)]
-    df = a.origin.groupBy(*keys).agg(value.cast(out.spark).alias("v"))
+    rows = a.origin
+    if func == "prod" and not a.dtype.floating:
+        names = [f"i{j}" for j in range(len(kept))]
+        bits = ieee.cast(a.value, a.dtype, DTYPES["i64"])
+        schema = ", ".join([f"{n} long" for n in names] + ["v long"])
+        rows = rows.select(*keys, bits.alias("v")).mapInPandas(_partial_products(names), schema)
+        keys, value = names, _fold(F.collect_list("v"), out)
+    df = rows.groupBy(*keys).agg(value.cast(out.spark).alias("v"))
     return NDArray.cells(df, a.meta.but(dtype=out, shape=shape, view=False, urlpath=None, chunkshape=None, blockshape=None))
