@@ -6,7 +6,7 @@ bits wide and wrap; f32 sums are added up as doubles and rounded once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..array import NDArray
 from ..functions import ieee
-from ..meta import DTYPES, ArrayError, DType
+from ..meta import DTYPES, ArrayError, DType, dtype
 
 _NAN = float("nan")
 NAN_FUNCS = frozenset("nansum nanprod nanmax nanmin nanmean nanvar nanstd nanmedian".split())
@@ -159,3 +159,17 @@ def reduce(a: NDArray, func: str, axis: int | Sequence[int] | None = None, onesh
         keys, value = names, _fold(F.collect_list("v"), out)
     df = rows.groupBy(*keys).agg(value.cast(out.spark).alias("v"))
     return NDArray.cells(df, a.meta.but(dtype=out, shape=shape, view=False, urlpath=None, chunkshape=None, blockshape=None))
+
+
+def reduce_udf(a: NDArray, function: Callable[[np.ndarray], object], axis: int | Sequence[int] | None = None, kind: str | DType = "f64") -> NDArray:
+    """``a`` reduced by a user function of the values of one group, in no particular order: a group is one task's."""
+    out = dtype(kind)
+    axes = range(a.ndim) if axis is None else [a.meta.axis(axis)] if isinstance(axis, int) else [a.meta.axis(k) for k in axis]
+    kept = [k for k in range(a.ndim) if k not in axes]
+
+    @F.pandas_udf(out.spark, F.PandasUDFType.GROUPED_AGG)
+    def run(v):
+        return np.asarray(function(v.to_numpy())).astype(out.numpy).item()
+
+    df = a.origin.groupBy(*[a.coords[k].alias(f"i{j}") for j, k in enumerate(kept)]).agg(run(a.value).alias("v"))
+    return NDArray.cells(df, a.meta.but(dtype=out, shape=tuple(a.shape[k] for k in kept), view=False, urlpath=None, chunkshape=None, blockshape=None))

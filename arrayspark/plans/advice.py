@@ -42,3 +42,9 @@ def advise(kind: str | DType, shape: tuple[int, ...], min_chunk: int = 0, max_ch
 def partitions(nbytes: int, each: int = 128 << 20) -> int:
     """How many partitions hold ``nbytes`` in parts of ``each``."""
     return max(1, -(-nbytes // each))
+
+
+def ncores(spark, most: int | None = None) -> int:
+    """The tasks that run at once, ``most`` at most."""
+    n = spark.sparkContext.defaultParallelism
+    return min(n, most) if most else n

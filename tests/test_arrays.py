@@ -155,6 +155,11 @@ def test_reduction_checks(spark, m):
         red.reduce(none, "max")
 
 
+def test_user_reduction(spark, m):
+    same(red.reduce_udf(m, lambda v: np.ptp(v), 1), np.ptp(M, axis=1))
+    assert red.reduce_udf(m, len, None, "i64").to_numpy() == 120
+
+
 def test_boxes_and_lists(spark, m):
     same(index.get_slice(m, [2, -5], [-1, 12]), M[2:-1, -5:12])
     same(m[3, 2:5], M[3, 2:5])
