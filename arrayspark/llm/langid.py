@@ -158,19 +158,20 @@ def fit(docs: DataFrame, per_language: int = 400, windows: int = 6, **options) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             buf, off = buffers(part.column(2))
-            ids, langs, out = [], [], []
+            ids, nth, langs, out = [], [], [], []
             for i, (doc, lang) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 text = buf[off[i] : off[i + 1]]
                 if not _ASCII_LETTER[text].any() and not (text > 127).any():
                     continue
                 for k in range(min(windows, max(1, len(text) // WINDOW))):
                     at = (k * max(1, len(text) - WINDOW)) // windows
-                    ids.append((doc or 0) * 64 + k)
+                    ids.append(doc)
+                    nth.append(k)
                     langs.append(lang)
                     out.append(text[at : at + WINDOW].tobytes().ljust(WINDOW))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["id", "lang", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["id", "k", "lang", "w"])
 
-    got = map_batches(chosen.select("doc_id", "lang", "text"), cut, "id long, lang string, w binary").toArrow().sort_by([("id", "ascending"), ("w", "ascending")])
+    got = map_batches(chosen.select("doc_id", "lang", "text"), cut, "id long, k int, lang string, w binary").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("w", "ascending")])
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
