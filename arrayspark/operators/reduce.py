@@ -7,10 +7,11 @@ bits wide and wrap; f32 sums are added up as doubles and rounded once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import prod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..array import NDArray
@@ -123,6 +124,48 @@ def _partial_products(keys: list[str]):
     return run
 
 
+#: Groups of more cells find their median by narrowing brackets instead of Spark's table of a group's values.
+MEDIAN_CELLS = 10_000_000
+
+
+def _large_median(rows: DataFrame, keys: list[str], skip: bool, most: int) -> DataFrame:
+    """Exact medians of ``x`` (double) by ``keys`` in memory that doesn't grow with a group.
+
+    An approximate percentile brackets the wanted ranks; what lies outside is only counted. Brackets
+    shrink about a thousandfold each time, until ``most`` values are left in each, which are ranked.
+    """
+    number = ~F.isnan("x")
+    total = rows.groupBy(*keys).agg(F.count_if(number).alias("n"), F.max(F.isnan("x")).alias("bad"), F.min(F.when(number, F.col("x"))).alias("lo"), F.max(F.when(number, F.col("x"))).alias("hi"))
+    bracket = total.select(*keys, "n", "bad", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("m"))
+    inside = rows.where(number)
+
+    def within(b: DataFrame) -> DataFrame:
+        b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "lo", "hi", "below", "m")
+        same = [F.col(k) == F.col(f"_{k}") for k in keys]
+        return inside.join(b, [*same, F.col("x") >= F.col("lo"), F.col("x") <= F.col("hi")]) if keys else inside.crossJoin(b).where("x >= lo and x <= hi")  # one row
+
+    while (bracket.agg(F.max("m")).first()[0] or 0) > most:
+        near = within(bracket).groupBy(*keys, "n", "lo", "hi", "below").agg(F.count("*").alias("m"), F.percentile_approx("x", F.array(*[F.lit(i / 2000) for i in range(2001)]), 20_000).alias("q"))
+        at = F.floor((F.col("n") / 2 - F.col("below")) / F.col("m") * 2000).cast("int")
+        cut = near.select(*keys, "n", F.get("q", F.greatest(F.lit(0), at - 2)).alias("lo"), F.get("q", F.least(F.lit(2000), at + 3)).alias("hi"))
+        named = cut.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        same = [F.col(k) == F.col(f"_{k}") for k in keys]
+        counted = inside.join(named, same) if keys else inside.crossJoin(named)
+        tight = counted.groupBy(*keys, F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).agg(F.count_if(F.col("x") < F.col("_lo")).alias("below"), F.count_if(F.col("x").between(F.col("_lo"), F.col("_hi"))).alias("m"))
+        before = bracket.agg(F.max("m")).first()[0]
+        bracket = tight.checkpoint() if tight.sparkSession.sparkContext.getCheckpointDir() else tight
+        if bracket.agg(F.max("m")).first()[0] >= before:
+            break  # one value fills the bracket: ranking its counts is cheap
+    counts = within(bracket).groupBy(*keys, "n", "below", "x").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys).orderBy("x")
+    ranked = counts.withColumn("to", F.sum("c").over(w) + F.col("below")).withColumn("from", F.col("to") - F.col("c"))
+    pick = lambda r: F.max(F.when((F.col("from") <= r) & (F.col("to") > r), F.col("x")))
+    middle = ranked.groupBy(*keys).agg(((pick(F.expr("(n - 1) div 2")) + pick(F.expr("n div 2"))) / 2).alias("v"))
+    out = total.select(*keys, "bad").join(middle, keys, "left") if keys else total.select("bad").join(middle, F.lit(True), "left")
+    good = F.coalesce("v", F.lit(_NAN))
+    return out.select(*keys, (good if skip else F.when(F.col("bad"), F.lit(_NAN)).otherwise(good)).alias("v"))
+
+
 def reduce(a: NDArray, func: str, axis: int | Sequence[int] | None = None, oneshot: bool = True, correction: float = 0.0, compat_correction: bool = False) -> NDArray:
     """``a`` reduced along ``axis`` (all axes by default); the reduced axes go.
 
@@ -157,7 +200,11 @@ def reduce(a: NDArray, func: str, axis: int | Sequence[int] | None = None, onesh
         schema = ", ".join([f"{n} long" for n in names] + ["v long"])
         rows = rows.select(*keys, bits.alias("v")).mapInPandas(_partial_products(names), schema)
         keys, value = names, _fold(F.collect_list("v"), out)
-    df = rows.groupBy(*keys).agg(value.cast(out.spark).alias("v"))
+    if func.endswith("median") and prod(a.shape[k] for k in axes) > MEDIAN_CELLS:
+        df = _large_median(rows.select(*keys, a.value.cast("double").alias("x")), [f"i{j}" for j in range(len(kept))], func in NAN_FUNCS, MEDIAN_CELLS)
+        df = df.withColumn("v", F.col("v").cast(out.spark))
+    else:
+        df = rows.groupBy(*keys).agg(value.cast(out.spark).alias("v"))
     return NDArray.cells(df, a.meta.but(dtype=out, shape=shape, view=False, urlpath=None, chunkshape=None, blockshape=None))
 
 

@@ -155,6 +155,21 @@ def test_reduction_checks(spark, m):
         red.reduce(none, "max")
 
 
+def test_medians_of_large_groups(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(3, 4001)), 2)
+    x[1, 7] = np.nan
+    x[2] = 1.5
+    x[2, :10] = 3
+    a = NDArray.from_numpy(spark, x)
+    monkeypatch.setattr(red, "MEDIAN_CELLS", 40)
+    same(red.reduce(a, "median", 1), np.median(x, axis=1))
+    same(red.reduce(a, "nanmedian", 1), np.nanmedian(x, axis=1))
+    same(red.reduce(a, "nanmedian"), np.nanmedian(x))
+    same(red.reduce(NDArray.from_numpy(spark, np.arange(1000)), "median"), np.median(np.arange(1000)))
+    same(red.reduce(NDArray.from_numpy(spark, np.full(100, np.nan)), "nanmedian"), np.nan)
+
+
 def test_user_reduction(spark, m):
     same(red.reduce_udf(m, lambda v: np.ptp(v), 1), np.ptp(M, axis=1))
     assert red.reduce_udf(m, len, None, "i64").to_numpy() == 120
