@@ -214,8 +214,8 @@ def reduce_udf(a: NDArray, function: Callable[[np.ndarray], object], axis: int |
     axes = range(a.ndim) if axis is None else [a.meta.axis(axis)] if isinstance(axis, int) else [a.meta.axis(k) for k in axis]
     kept = [k for k in range(a.ndim) if k not in axes]
 
-    @F.pandas_udf(out.spark, F.PandasUDFType.GROUPED_AGG)
-    def run(v):
+    @F.pandas_udf(out.spark)
+    def run(v: pd.Series) -> float:
         return np.asarray(function(v.to_numpy())).astype(out.numpy).item()
 
     df = a.origin.groupBy(*[a.coords[k].alias(f"i{j}") for j, k in enumerate(kept)]).agg(run(a.value).alias("v"))

@@ -20,7 +20,8 @@ from .functions.udf import Registry
 from .meta import ArrayMeta
 from .operators import chunks, compare, create, index, linalg, random, reduce
 from .plans.advice import advise
-from .sources import buffers, proxy
+from .sources import buffers, proxy, storage
+from .streaming.appends import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,6 +315,7 @@ for _f, _agg in _PLAIN.items():
     _array(f"reduce_{_f}", lambda s, d, f=_f, m=_make, p=_post: p(reduce.reduce(m(s, d), f, 1)), f"SELECT i0, round({_wrap.format(_agg.format('v' + _scale))}, 4) AS v FROM ({EV2}) GROUP BY i0", 4)
     _array(f"reduce_nan{_f}", lambda s, d, f=_f, m=_nanm, p=_post: p(reduce.reduce(m(s, d), "nan" + f, 1)), f"SELECT i0, round({_wrap.format(_agg.format('raw' + _scale))}, 4) AS v FROM {_NAN} WHERE ok GROUP BY i0", 4)
     _array(f"reduce_{_f}_of_nan", lambda s, d, f=_f, m=_nanm: reduce.reduce(m(s, d), f, 1), f"SELECT i0, CASE WHEN bool_and(ok) THEN round({_agg.format('raw' + _scale)}, 4) ELSE 'nan'::DOUBLE END AS v FROM {_NAN} GROUP BY i0", 4)
+_array("reduce_udf", lambda s, d: reduce.reduce_udf(ev2(s, d), lambda v: v.max() - v.min(), 1), f"SELECT i0, round(max(v) - min(v), 6) AS v FROM ({EV2}) GROUP BY i0")
 _array("reduce_all", lambda s, d: reduce.reduce(evaluate("floor(x / 3)", x=ev2(s, d)), "all", 1), f"SELECT i0, bool_and(floor(v / 3) <> 0) AS v FROM ({EV2}) GROUP BY i0")
 _array("reduce_any", lambda s, d: reduce.reduce(evaluate("floor(x / 400)", x=ev2(s, d)), "any", 1), f"SELECT i0, bool_or(floor(v / 400) <> 0) AS v FROM ({EV2}) GROUP BY i0")
 _array("reduce_axis0", lambda s, d: reduce.reduce(ev2(s, d), "sum", 0), f"SELECT i1 AS i0, round(sum(v), 4) AS v FROM ({EV2}) GROUP BY i1", 4)
@@ -380,6 +382,32 @@ _array("source_cframe", lambda s, d: buffers.from_cframe(s, buffers.to_cframe(cr
 _array("source_proxy", lambda s, d: proxy.open_proxy(s, "mem:", lambda url, a, b: np.add.outer(np.arange(a[0], b[0]), 2.0 * np.arange(a[1], b[1])), "f64", (40, 50), (16, 16)), f"SELECT i0, i1, (i0 + 2 * i1)::DOUBLE AS v FROM {_N}")
 
 
+_array("source_save_open", lambda s, d: storage.save(create.copy(ev2(s, d), chunkshape=(4, 30)), storage.scratch(s)), EV2)
+_array("source_open_box", lambda s, d: storage.open_box(s, storage.save(create.copy(ev2(s, d), chunkshape=(4, 30)), storage.scratch(s)).meta.urlpath, [2, 35], [9, 70]), f"SELECT i0 - 2 AS i0, i1 - 35 AS i1, v FROM ({EV2}) WHERE i0 BETWEEN 2 AND 8 AND i1 BETWEEN 35 AND 69")
+_array("source_slice_buffer", lambda s, d: buffers.from_buffer(s, index.get_slice_buffer(ev2(s, d), [1, 5], [4, 25]), "f64", (3, 20)), f"SELECT i0 - 1 AS i0, i1 - 5 AS i1, v FROM ({EV2}) WHERE i0 BETWEEN 1 AND 3 AND i1 BETWEEN 5 AND 24")
+_array("source_trunc_prec", lambda s, d: storage.trunc_prec(ev2(s, d), 10), f"SELECT i0, i1, round(floor(v * pow(2.0, 10 - floor(log2(v)))) / pow(2.0, 10 - floor(log2(v))), 6) AS v FROM ({EV2})")
+
+
+@query("meta_named_blobs", "SELECT * FROM (VALUES ('a', 'one'), ('b', 'three')) t(name, value)")
+def _blobs(spark: SparkSession, d: str) -> DataFrame:
+    a = storage.save(create.zeros(spark, (4,)), storage.scratch(spark))
+    a = storage.vlmeta_update(storage.vlmeta_add(storage.vlmeta_add(a, "a", b"one"), "b", b"two"), "b", b"three")
+    a = storage.vlmeta_delete(storage.vlmeta_add(a, "c", b""), "c")
+    back = storage.open_array(spark, a.meta.urlpath)
+    return spark.createDataFrame([(n, storage.vlmeta_get(back, n).decode()) for n in storage.vlmeta_names(back)], "name string, value string")
+
+
+@query("stream_append", f"SELECT i0, i1, v FROM ({EV2})")
+def _stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of cells, appended to a stored array that starts empty."""
+    a, path = ev2(spark, d), storage.scratch(spark)
+    storage.save(create.zeros(spark, (0, 100), chunkshape=(1, 100)), path)
+    a.df.write.parquet(f"{path}-in")
+    stream = spark.readStream.schema(a.df.schema).parquet(f"{path}-in")
+    append_stream(stream, path, f"{path}-checkpoint", availableNow=True).awaitTermination()
+    return storage.open_array(spark, path).df
+
+
 @query("meta_advice", "SELECT * FROM (VALUES (0::BIGINT, '131072', '8192'), (1, '32,4096', '8,1024'), (2, '256,256', '64,128'), (3, '32,4,1024', '8,2,512')) t(id, chunk, block)")
 def _advice(spark: SparkSession, d: str) -> DataFrame:
     rows = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -29,6 +31,16 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the cluster's checkpoint folder; in a local temporary one only where Spark runs in one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ArrayError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="arrayspark-")
+    return f"{found.rstrip('/')}/array-{uuid.uuid4().hex}"
+
+
 def trunc_prec(a: NDArray, bits: int) -> NDArray:
     """``a`` with only ``bits`` bits of each mantissa, as a filter before compression: the rest is cut, toward zero."""
     if not a.dtype.floating:
