@@ -150,7 +150,7 @@ def _verifier(percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128, rows: int = 4, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128, rows: int = 4, pivots: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Documents are linked if ``100 * shared >= percent * union`` of their shingle sets; a component is
@@ -160,13 +160,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     Sets that are equal become one class first, so copies cost one row each. In a bucket each class is
     compared with one centre, the least id, not with all others. Passes follow over the buckets that
     still hold several components: their classes are compared with ``pivots`` further centres each,
-    drawn anew in each pass, until a pass finds no link. So a pass costs rows in proportion to a
+    drawn anew in each pass, until two passes find no link. So a pass costs rows in proportion to a
     bucket, whatever its size; the share of links it can miss is measured in the README.
     """
     docs = docs.select("doc_id", "text")
     signed = stored(map_batches(docs, _signer(words, size, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = stored(signed.drop("bands").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
+    # only sets that occur again; written, so that both sides of the join are plain exchanges and a set that
+    # very many documents have is one side's skew, which Spark splits
+    again = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = stored(again, "classes")
+    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep")
+    members = stored(signed.drop("bands").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", rep), "members")
 
     # one row of each class brings its bands; repeated ids with one text are one row
     reps = signed.where("n_shingles > 0").join(members.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi")
@@ -184,7 +188,7 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
     filt = IdFilter(buckets.select("doc_id").distinct(), "doc_id")
     sets = stored(map_batches(docs.select("doc_id", "text", *filt.spots("doc_id")), _shingler(words, filt.keep), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
     root = links = tested = None
-    step = 0
+    step = idle = 0
     while True:
         if root is None:
             state = buckets.withColumn("part", F.col("doc_id"))
@@ -203,8 +207,10 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
         tested = pairs if tested is None else tested.union(pairs)
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         new = stored(map_batches(texts.select("a", "b", "x", "y"), _verifier(percent), "a long, b long"), "verified")
-        if root is not None and new.isEmpty():
-            return root
-        links = new if links is None else links.union(new)
-        root = stored(components(links), "roots")
         step += 1
+        if root is None or not new.isEmpty():
+            idle = 0
+            links = new if links is None else links.union(new)
+            root = stored(components(links), "roots")
+        elif (idle := idle + 1) == 2:
+            return root
