@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workers import reachable
 from .textblocks import seeds
 
 
@@ -36,7 +37,7 @@ BATCH_BYTES = "4m"
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` over batches of about 4 MB (one text may be longer); the bound is a setting of the session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    reachable(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
