@@ -32,11 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Arrow batches carry whole texts, so their bytes are bounded, not their rows: a task holds a few of these at once.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` over batches of about 4 MB (one text may be longer); the bound is a setting of the session."""
+    """``df.mapInArrow`` over batches of about 1 MB (one text may be longer); the bound is a setting of the session."""
     reachable(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
