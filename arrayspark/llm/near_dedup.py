@@ -131,6 +131,16 @@ def _shingler(words: int, keep):
     return make
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of (id, part, shingles), with the size n of its set."""
+    for batch in batches:
+        buf, off = buffers(batch.column(2))
+        n = np.diff(off) // 8
+        at = pa.array(np.repeat(np.arange(batch.num_rows), n))
+        token = pa.array(buf.view(np.int64).copy())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(n.astype(np.int64)).take(at), token], names=["id", "part", "n", "token"])
+
+
 def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     compared with one centre, the least id, not with all others. Passes follow over the buckets that
     still hold several components: their classes are compared with ``pivots`` further centres each,
     drawn anew in each pass, until a pass finds no link. So a pass costs rows in proportion to a
-    bucket, whatever its size; the share of links it can miss is measured in the README.
+    bucket, whatever its size. Centres alone can miss links, so what they leave apart is joined exactly
+    on the rarest shingles of each set (``_rest``): no two sets that share a bucket stay unlinked.
     """
     docs = docs.select("doc_id", "text")
     signed = stored(map_batches(docs, _signer(words, size, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
@@ -183,10 +194,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _rest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all classes in ``apart`` (id, part) of different components that may be linked; an exact prefix filter.
+
+    Shingles that only one component holds come first in each set's order, then rarer ones. Two sets that
+    are linked share ``o = percent * (n + m) / (100 + percent)`` shingles at least, so the first they share
+    has ``o`` places from it to the end in both. Sets are paired by classes of sizes in steps of 3 %, as a
+    set of a larger partner needs fewer places: shingles of a passage that all sets of a group hold
+    stay out of reach where the passage alone makes no link.
+    """
+    schema = "id long, part long, n long, token long"
+    tokens = stored(map_batches(apart.join(sets, "id").select("id", "part", "shingles"), _rows, schema), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token", "df")
+    held = tokens.join(common, "token").groupBy("id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    # k: class of the size, least sizes of class c are step ** c; sizes in reach are percent / 100 * n .. 100 / percent * n
+    step = 1.03
+    k = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / float(np.log(step)) + 1e-9)
+    held = held.withColumn("k", k(F.col("n").cast("double")))
+    held = held.withColumn("other", F.explode(F.sequence(k(F.col("n") * (percent / 100)) - 1, k(F.col("n") * (100 / percent)) + 1)))
+    # no partner of the class is smaller than this, so at least ``need`` shingles are shared
+    least = F.greatest(F.pow(F.lit(step), F.col("other")) - 1, F.col("n") * (percent / 100) - 1)
+    need = F.greatest(F.floor((F.col("n") + least) * (percent / (100 + percent))), F.lit(1))
+    places = F.greatest(F.col("n") - need + 1 - (F.col("n") - F.size("held")), F.lit(0)).cast("int")
+    spots = held.select("id", "part", "n", "k", "other", F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), places)).alias("i", "h"))
+    spots = stored(spots.select("id", "part", "n", "k", "other", F.col("h.token").alias("token"), (F.col("m") - F.col("i")).alias("left")), "spots")
+    # rows of one size meet those of the other; all but the largest component of a key meet all of its rows, so
+    # that a group already linked isn't paired with itself
+    keys = ["token", "lo", "hi"]
+    sided = spots.withColumns({"lo": F.least("k", "other"), "hi": F.greatest("k", "other")})
+    parts = sided.groupBy(*keys, "part").agg(F.count("*").alias("c"), F.min("k").alias("low"), F.max("k").alias("high"))
+    main = parts.groupBy(*keys).agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    main = main.where("parts > 1 and low = lo and high = hi").select(*keys, "main")
+    x = sided.join(main, keys).where("part <> main").select("id", "part", "n", "token", "k", "other", "left")
+    y = spots.select(F.col("id").alias("id2"), F.col("part").alias("part2"), F.col("n").alias("n2"), "token", F.col("other").alias("k"), F.col("k").alias("other"), F.col("left").alias("left2"))
+    fits = f"part <> part2 and {100 + percent} * least(left, left2) >= {percent} * (n + n2) and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    pairs = x.join(y, ["token", "k", "other"]).where(fits)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots: int) -> DataFrame:
-    """(node, root) over the classes in ``buckets``, by passes of comparisons with centres."""
+    """(node, root) over the classes in ``buckets``: passes of comparisons with centres, then all that is left."""
     filt = IdFilter(buckets.select("doc_id").distinct(), "doc_id")
     sets = stored(map_batches(docs.select("doc_id", "text", *filt.spots("doc_id")), _shingler(words, filt.keep), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return stored(map_batches(texts.select("a", "b", "x", "y"), _verifier(percent), "a long, b long"), "verified")
+
     root = links = tested = None
     step = 0
     while True:
@@ -205,10 +259,15 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        new = stored(map_batches(texts.select("a", "b", "x", "y"), _verifier(percent), "a long, b long"), "verified")
+        new = verified(pairs)
         if root is not None and new.isEmpty():
-            return root
+            break
         links = new if links is None else links.union(new)
         root = stored(components(links), "roots")
         step += 1
+    # the last pass found nothing, so its buckets are those that are apart still
+    rest = stored(state.select(F.col("doc_id").alias("id"), "part").distinct(), "rest")
+    if rest.isEmpty():
+        return root
+    new = verified(stored(_rest(rest, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs"))
+    return root if new.isEmpty() else stored(components(links.union(new)), "roots")

@@ -93,6 +93,26 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert got == brute_components(texts, k)
 
 
+def template_fixture(docs=500, pairs=100, shared=240, own=40):
+    """Texts of one long passage and an end of their own, alike below 0.8; ``pairs`` of them also share part of the end."""
+    base = words(1, shared)
+    texts = [" ".join([*base, *(f"d{i}x{j}" for j in range(own))]) for i in range(docs)]
+    for p in range(pairs):
+        i, j = p, docs - 1 - p
+        texts[j] = " ".join([*base, *(f"d{i}x{x}" for x in range(own // 3)), *(f"e{j}x{x}" for x in range(own - own // 3))])
+    r = random.Random(5)
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates_within_a_template_group(spark, k):
+    texts = template_fixture()
+    want = brute_components(texts, k)
+    assert sum(not kept for *_, kept in want) == 100  # only the planted pairs are alike
+    assert sorted(map(tuple, near_dedup.near_duplicates(frame(spark, texts), k).collect())) == want
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).collect() == []
     df = frame(spark, ["a b c d e f", "a b c d e f", "z"])
