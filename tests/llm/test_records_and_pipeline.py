@@ -124,6 +124,21 @@ def test_pipeline_decisions(spark, corpus):
     assert rows(corpus_pipeline.run(spark, d)) == rows(spark.createDataFrame(mixed, corpus_pipeline.STAGES[-1][1](spark, docs, d).schema))
 
 
+def test_near_dedup_stage_within_a_template_group(spark):
+    import random
+
+    r = random.Random(2)
+    base = [f"w{r.randrange(400)}" for _ in range(240)]
+    texts = {i: " ".join([*base, *(f"d{i}x{j}" for j in range(40))]) for i in range(500)}
+    for i in range(100):  # shares a third of the end of text i: above 0.8, where the passage alone is below
+        texts[499 - i] = " ".join([*base, *(f"d{i}x{j}" for j in range(13)), *(f"e{i}x{j}" for j in range(27))])
+    grams = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in texts.items()}
+    near = {j for j in grams for i in range(j) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])}
+    assert near == set(range(400, 500))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(texts) - near
+
+
 def test_pipeline_of_an_empty_table(spark, corpus, tmp_path):
     d, _, _ = corpus
     for t in ("documents", "labels", "benchmark"):
