@@ -349,6 +349,12 @@ _array("linalg_gram", lambda s, d: linalg.gram(index.type_view(emb(s, d), "f64")
 _array("linalg_transpose", lambda s, d: emb(s, d).T, f"SELECT i1::BIGINT AS i0, i0::BIGINT AS i1, round(v::DOUBLE, 6) + 0.0 AS v FROM ({EMB})")
 _array("linalg_dot", lambda s, d: linalg.dot(a := ev(s, d), a), "SELECT round(sum(value * value), 2) AS v FROM events", 2)
 
+# the same over all rows: each embedding times the 64 x 64 gram of all of them
+_GRAM = f"(SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1)"
+_WHOLE = f"SELECT a.i0, b.i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM {_HEAD} a JOIN {_GRAM} b ON a.i1 = b.i0 GROUP BY a.i0, b.i1"
+for _f in ("matmul", "gemm", "gemm_a", "gemm_b"):
+    _array(f"linalg_{_f}_all_rows", lambda s, d, f=_f: getattr(linalg, f)(e := index.type_view(emb(s, d), "f64"), linalg.gram(e)), _WHOLE, 4)
+
 
 @query("linalg_norms", f"SELECT round(sqrt(sum(v * v)), 4) AS fro, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM ({EV2}) GROUP BY i0)), 4) AS inf, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM ({EV2}) GROUP BY i1)), 4) AS one, round((SELECT sum(v) FROM ({EV2}) WHERE i0 = i1), 4) AS trace FROM ({EV2})")
 def _norms(spark: SparkSession, d: str) -> DataFrame:
