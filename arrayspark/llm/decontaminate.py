@@ -5,16 +5,18 @@ bit that depends on j and that word says whether the pointer moves. Two sequence
 fall in step again after each edit, so their walks differ at O(k**2) steps: edit distance becomes
 Hamming distance. LSH then samples some steps of the walk and looks their words up.
 
-Every word of a document opens a window, and windows are walked all at once. A walk at step j has read
-at most j words, so one walk serves items of every length: an item of n words uses steps below n, and
-its window ends where the item would. Items enter the index at several anchors (every ``stride``
-words), so that an edit near one anchor leaves others. Candidates are verified by exact word-level edit
-distance between the item and its best stretch of the document around the place.
+Every word of a document opens a window, and windows are walked all at once. A walk takes 24 steps and
+reads about half as many words, so one walk serves items of every length: an item enters the index at
+many anchors (every ``stride`` words, each word of a short one), and its windows together are as long
+as the item. An edit near one anchor leaves others. A window belongs to the document that it opens in
+and must end there, so what is found doesn't depend on the documents beside it. Candidates are verified
+by exact word-level edit distance between the item and its best stretch of that document around the place.
 
 Words are runs of letters and digits with A-Z lower-cased. Defined results: null and empty texts match
-nothing, nor do items without words; ties go to the least start; repeated rows match alike; empty
-tables give an empty result; further columns are ignored. The index holds the benchmark, whose size is
-checked: beyond ``max_items`` items it is cut into parts of that many, each with a pass of its own.
+nothing, nor do items without words; ties go to the least start; repeated rows match alike, null ids
+too; a very long text is one task's, in time and memory proportional to it; empty tables give an empty
+result; further columns are ignored. The driver holds the benchmark, not the corpus: beyond
+``max_items`` items the index is cut into parts of that many, each with a pass of its own.
 """
 
 from __future__ import annotations
@@ -35,16 +37,18 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Plan:
-    """Walks, and for each the samples: the steps whose words make a key. ``reach``: steps below an item's length serve it.
+    """Walks, and for each the samples: the steps whose words make a key. A key serves where its walk ends within the item.
 
-    A key of fewer than ``distinct`` different words of an item would be met by chance too often and isn't indexed.
-    Items too short for the first sample use ``short`` at each of their words.
+    A key of fewer than ``distinct`` different positions of an item would be met by chance too often and isn't
+    indexed. Items below ``dense`` words are indexed at each word, others at every ``stride``-th; items too short for
+    the first sample use ``short`` at each of their words.
     """
 
     walks: tuple[int, ...] = (31, 37, 41)
     samples: tuple[tuple[int, ...], ...] = ((0, 4, 8, 11), (2, 6, 9, 13), (5, 8, 12, 15), (7, 11, 14, 18), (10, 13, 17, 20), (12, 16, 19, 23))
     short: tuple[tuple[int, ...], ...] = ((0,), (1, 2))
     stride: int = 4
+    dense: int = 24
     distinct: int = 3
 
 
@@ -61,10 +65,10 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def _step(words: np.ndarray, bits: np.ndarray, at: np.ndarray, samples: tuple, walk: int, read: dict | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(sample, key of each window) for windows that open at ``at``, as the walk passes the samples' last steps.
+def _step(words: np.ndarray, bits: np.ndarray, at: np.ndarray, samples: tuple, walk: int, read: dict | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(sample, key, position of the last word) of the windows that open at ``at``, as the walk passes the samples' last steps.
 
-    ``read``: gets the number of different words under each sample.
+    ``read``: gets the number of different positions under each sample.
 
     ``words`` ends in enough zeros for every window; ``bits`` holds 64 random bits for each word.
     """
@@ -81,8 +85,8 @@ def _step(words: np.ndarray, bits: np.ndarray, at: np.ndarray, samples: tuple, w
                 term = words[pointer] * factor[j]
                 sums[k] = term if k not in sums else sums[k] + term
                 if j == max(s):
-                    yield k, mix(sums.pop(k))
-        pointer += ((bits[pointer] >> _U(j)) & _U(1)).astype(np.int64)
+                    yield k, mix(sums.pop(k)), pointer
+        pointer = pointer + ((bits[pointer] >> _U(j)) & _U(1)).astype(np.int64)
 
 
 class Index:
@@ -104,20 +108,22 @@ class Index:
                     if not len(words) or short != (len(words) < 3 + max(plan.samples[0])):
                         continue
                     pad = np.concatenate([words, np.zeros(64, _U)])
-                    anchors = np.arange(0, len(words), 1 if short else plan.stride)
-                    left = len(words) - anchors
+                    anchors = np.arange(0, len(words), 1 if len(words) < plan.dense else plan.stride)
                     read: dict = {}
-                    for k, key in _step(pad, mix(pad ^ seeds(1, walk)[0]), anchors, samples, walk, read):
-                        fits = (left > max(samples[k])) & (short | (read[k][1] >= plan.distinct))
+                    for k, key, end in _step(pad, mix(pad ^ seeds(1, walk)[0]), anchors, samples, walk, read):
+                        fits = (end < len(words)) & (short | (read[k][1] >= plan.distinct))
                         keys[k] += [(int(x), i, int(a)) for x, a in zip(key[fits], anchors[fits], strict=True)]
                 for k, found in keys.items():
                     if found:
                         found = sorted(set(found))
                         self.tables[walk, k, short] = np.array([x for x, _, _ in found], _U), np.array([(i, a) for _, i, a in found], np.int64)
 
-    def candidates(self, words: np.ndarray, block: int = 1 << 15) -> np.ndarray:
-        """Distinct (item, place) of all windows whose key is in a table; ``words`` ends in 64 zeros."""
-        found = [np.zeros((0, 2), np.int64)]
+    def candidates(self, words: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """Distinct (text, item, place in the text) of all windows whose key is in a table.
+
+        ``words`` of all texts end in 64 zeros; a place may lie before its text.
+        """
+        found = [np.zeros((0, 3), np.int64)]
         n = len(words) - 64
         low = _U(0xFFFF)
         for walk in self.plan.walks:
@@ -132,16 +138,22 @@ class Index:
                     marks[k][(keys & low).astype(np.int64)] = True
                 for begin in range(0, n, block):
                     at = np.arange(begin, min(n, begin + block))
-                    for k, key in _step(words, bits, at, samples, walk):
+                    for k, key, end in _step(words, bits, at, samples, walk):
                         if k not in tables:
                             continue
                         near = np.flatnonzero(marks[k][(key & low).astype(np.int64)])
-                        if not len(near):
-                            continue
                         keys, owner = tables[k]
                         lo, hi = np.searchsorted(keys, key[near], "left"), np.searchsorted(keys, key[near], "right")
-                        for w, a, b in zip(at[near][hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                            found.append(np.stack([owner[a:b, 0], w - owner[a:b, 1]], axis=1))
+                        near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
+                        text = np.searchsorted(first, at[near], "right") - 1
+                        own = end[near] < first[text + 1]  # the window ends in the text that it opens in
+                        near, lo, hi, text = near[own], lo[own], hi[own], text[own]
+                        if not len(near):
+                            continue
+                        many = hi - lo
+                        row = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                        place = np.repeat(at[near] - first[text], many) - owner[row, 1]
+                        found.append(np.unique(np.stack([np.repeat(text, many), owner[row, 0], place], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -152,28 +164,26 @@ class Index:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: set[tuple[int, int, int]] = set()
-        for i, place in self.candidates(np.concatenate([h, np.zeros(64, _U)])):
+        for doc, i, place in self.candidates(np.concatenate([h, np.zeros(64, _U)]), first).tolist():
             item = self.items[i]
             slack = int(self.share * len(item)) + 1
-            anchor = min(max(place, 0), len(h) - 1)
-            doc = int(np.searchsorted(first, anchor, "right")) - 1
             # places a few words apart look at the same stretch: it is wide enough for all of them
             cell = place // (slack + 4)
-            for doc in {doc, int(np.searchsorted(first, min(len(h) - 1, place + len(item) - 1), "right")) - 1}:
-                if (doc, i, cell) in done:
-                    continue
-                done.add((doc, i, cell))
-                lo = max(first[doc], cell * (slack + 4) - slack)
-                hi = min(first[doc + 1], (cell + 1) * (slack + 4) + len(item) + slack)
-                # words that the stretch lacks cost an edit each
-                if hi <= lo or len(item) - np.isin(item, h[lo:hi]).sum() > self.share * len(item):
-                    continue
-                self.verified += 1
-                d, at = edit_distance(item, h[lo:hi])
-                if d <= self.share * len(item):
-                    back, length = edit_distance(item[::-1], h[lo : lo + at][::-1])
-                    hit = (d, int(lo + at - length - first[doc]), int(lo + at - first[doc]))
-                    best[doc, i] = min(best.get((doc, i), hit), hit)
+            if (doc, i, cell) in done:
+                continue
+            done.add((doc, i, cell))
+            text = h[first[doc] : first[doc + 1]]
+            lo = max(0, cell * (slack + 4) - slack)
+            part = text[lo : max(0, (cell + 1) * (slack + 4) + len(item) + slack)]
+            # words that the stretch lacks cost an edit each
+            if not len(part) or len(item) - np.isin(item, part).sum() > self.share * len(item):
+                continue
+            self.verified += 1
+            d, at = edit_distance(item, part)
+            if d <= self.share * len(item):
+                _, length = edit_distance(item[::-1], part[:at][::-1])
+                hit = (d, lo + at - length, lo + at)
+                best[doc, i] = min(best.get((doc, i), hit), hit)
         return [(doc, i, *hit) for (doc, i), hit in sorted(best.items())]
 
 

@@ -122,6 +122,30 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_duplicates(nulls).collect()) == [("7", "7", True), ("None", "7", False), ("None", "None", True)]
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words(7, 30))), (1, " ".join(base)), (6, " ".join([*base, "more"])), (None, " ".join(words(9, 50))), (5, " ".join([*words(9, 50), "x"])), (8, "alone here"), (8, None), (8, "alone here")]
+    df = spark.createDataFrame(texts, "doc_id int, text string").withColumn("_row", F.lit("x")).withColumn("row", F.lit(1))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == sorted([("1", 26, "1", True), ("1", 56, "1", True), ("6", 57, "1", False), ("None", 46, "5", False), ("5", 47, "5", True), ("8", 1, "8", True), ("8", 0, "8", True), ("8", 1, "8", True)])
+    one = near_dedup.deduplicate(df)
+    assert one.columns == df.columns
+    left = sorted((str(r.doc_id), str(r.text)[:10]) for r in one.collect())
+    assert left == sorted([("1", texts[0][1][:10]), ("1", texts[1][1][:10]), ("5", texts[4][1][:10]), ("8", "alone here"), ("8", "None")])
+    assert near_dedup.deduplicate(df.limit(0)).collect() == []
+
+
+def test_near_duplicates_of_one_large_bucket(spark):
+    """Thousands of texts that meet in the same bands, chained at just above 0.8, beside others at just below."""
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join([*base, *(f"t{i // 2}x{j}" for j in range(21 + 3 * (i % 2)))]) for i in range(3000)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    grams = lambda t: set(zip(*(t.split()[k:] for k in range(5)), strict=False))
+    near = lambda i, j: 5 * len((a := grams(texts[i])) & (b := grams(texts[j]))) >= 4 * len(a | b)
+    assert near(0, 1) and not near(0, 2) and not near(1, 2) and not near(1, 3)
+    assert got == {i: i // 2 * 2 for i in range(3000)}
+
+
 def test_super_minhash_is_the_sequential_one():
     m, seed = 16, 5
     values, first = textblocks.seeds(40, 77), np.array([0, 0, 1, 9, 40])
@@ -206,6 +230,36 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_items_cut_by_a_text(spark):
+    """What a text is found to hold doesn't depend on the texts beside it, nor on partitions."""
+    r = random.Random(11)
+    for n, head, tail in ((50, 5, 5), (16, 2, 1), (30, 3, 3)):
+        items = [(i, words(1000 * n + i, n, 3000)) for i in range(40)]
+        texts = []
+        for _, w in items:
+            texts += [" ".join(words(r.random(), 60, 3000)), " ".join(w[head : n - tail]), " ".join(words(r.random(), 60, 3000))]
+        want = {(i * 3 + 1, i): head + tail for i in range(40)}
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+        docs = frame(spark, texts)
+        for df in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.xxhash64("doc_id")).repartition(50)):
+            assert {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(df, bench).collect()} == want
+
+
+@pytest.mark.parametrize("n", [14, 15, 17, 20, 24, 45])
+def test_recall_by_length_of_item(n):
+    r = random.Random(n)
+    items = [(i, words(500 * n + i, n, 3000)) for i in range(50)]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in items], 0.2)
+    texts = []
+    for _, w in items:
+        w = list(w)
+        for p in r.sample(range(n), n // 5):
+            w[p] = r.choice(["", "new", f"{w[p]} new"])
+        texts.append(" ".join([*words(r.random(), 30, 3000), *w, *words(r.random(), 30, 3000)]))
+    found = {m[:2] for m in index.matches(*textblocks.buffers(pa.array(texts)))}
+    assert sum((i, i) in found for i in range(50)) >= 48
+
+
 def test_walk_recall():
     r = random.Random(6)
     items = [(i, " ".join(words(500 + i, 40, 3000))) for i in range(60)]
