@@ -5,14 +5,18 @@ i holds the least (rank + fraction) at which any element reaches i. Ranks of one
 correlated, which lowers the variance against independent minima. As ranks are visited in order, a
 document is finished once each of its positions is filled: a text of a thousand words needs one rank.
 
+Rows, not ids, are what is linked: each row has a key of its own inside, and ids come back at the end.
+
 Defined results: null and empty texts and texts without words have ``n_shingles`` 0 and are linked
-with nothing; repeated rows fall in one component, and where one id has several texts the id is linked
-by one of them; a null id is never the name of a component that has another; an empty table gives an
-empty result; further columns are ignored.
+with nothing; repeated rows fall in one component; rows of one id with different texts are linked each by
+its own text; a null id is never the name of a component that has another; a very long text is one
+task's, in time and memory proportional to it; an empty table gives an empty result; further columns
+are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import IdFilter, map_batches, stored
+from .shared import IdFilter, free_name, map_batches, stored
 from .textblocks import BLANK, buffers, int64, mix, runs, seeds, slices, span_hashes, tokens
 
 _U = np.uint64
@@ -101,20 +105,23 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix((parts * (seeds(rows, 7) | _U(1))).sum(axis=2, dtype=_U) + seeds(n, 8))
 
 
+def _digests(values: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two longs of a 128-bit cryptographic digest of each whole set (sorted, so equal sets have equal bytes)."""
+    joined = b"".join(hashlib.blake2b(values[a:b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    pair = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())
+
+
 def _signer(words: int, size: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            values, first = shingles(*buffers(part.column(1)), words)
+            values, first = shingles(*buffers(part.column(3)), words)
             n = np.diff(first)
-            total = np.zeros((2, len(values) + 1), _U)
-            for t, s in zip(total, seeds(2, 9), strict=True):
-                np.cumsum(mix(values ^ s), out=t[1:])
-            k1, k2 = (int64(t[first[1:]] - t[first[:-1]]) for t in total)
             band = int64(bands(super_minhash(values, first, size), rows))
             flat = pa.array(band[n > 0].ravel())
             width = np.where(n > 0, band.shape[1], 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), *_digests(values, first), lists], names=["row", "doc_id", "t", "n", "k1", "k2", "bands"])
 
     return sign
 
@@ -122,11 +129,11 @@ def _signer(words: int, size: int, rows: int):
 def _shingler(words: int, keep):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = keep(np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1))
+            hit = keep(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1))
             for part in slices(iter([batch.filter(pa.array(hit))]), "text"):
-                values, first = shingles(*buffers(part.column(1)), words)
+                values, first = shingles(*buffers(part.column(0)), words)
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), blob], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*_digests(values, first), blob], names=["k1", "k2", "shingles"])
 
     return make
 
@@ -160,38 +167,68 @@ def _verifier(percent: int):
     return verify
 
 
+def _grouped(docs: DataFrame, words: int, percent: int, size: int, rows: int, pivots: int) -> DataFrame:
+    """(row, doc_id, n, component_id, first) of ``docs`` (row, doc_id, text); ``first``: one row of each component."""
+    # t tells texts apart when they are read again; what has the same id and text has the same set
+    hashed = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("t"), "text")
+    signed = stored(map_batches(hashed, _signer(words, size, rows), "row long, doc_id long, t long, n long, k1 long, k2 long, bands array<long>"), "signed")
+    # only sets that occur again; written, so that both sides of the join are plain exchanges and a set that
+    # very many documents have is one side's skew, which Spark splits
+    key = ["k1", "k2", "n"]
+    again = signed.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rep = F.when(F.col("n") > 0, F.coalesce("rep", "row")).alias("rep")
+    members = stored(signed.drop("bands").join(stored(again, "classes"), key, "left").select("row", "doc_id", "t", *key, rep), "members")
+
+    # one row of each class brings its bands
+    reps = signed.join(members.where("row = rep").select("row"), "row", "left_semi")
+    banded = reps.select(F.col("row").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+    buckets = stored(banded.join(shared, "bucket"), "buckets")
+    met = stored(members.join(buckets.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("id"), "t", "k1", "k2"), "met")
+    filt = IdFilter(met, "t")
+    texts = map_batches(hashed.select("text", *filt.spots("t")), _shingler(words, filt.keep), "k1 long, k2 long, shingles binary")
+    sets = stored(texts.groupBy("k1", "k2").agg(F.min("shingles").alias("shingles")).join(met.drop("t"), ["k1", "k2"]).select("id", "shingles"), "sets")
+
+    linked = _link(buckets, sets, percent, pivots)
+    component = F.coalesce("root", "rep", "row").alias("component")
+    found = stored(members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "n", component), "found")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))).alias("least")
+    named = found.groupBy("component").agg(least, F.count("*").alias("c")).where("c > 1").select("component", "least.doc_id", "least.row")
+    named = stored(named.toDF("component", "least_id", "least_row"), "named")
+    out = found.join(named, "component", "left")
+    alone = F.col("least_row").isNull()
+    return out.select("row", "doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), (alone | (F.col("row") == F.col("least_row"))).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128, rows: int = 4, pivots: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Documents are linked if ``100 * shared >= percent * union`` of their shingle sets; a component is
-    what links reach and is named by its least id. With 128 entries in bands of 4, two sets at 0.8 meet
-    in some band but for a chance of 5e-8.
+    what links reach and is named by its least id; rows of that id are kept. With 128 entries in bands
+    of 4, two sets at 0.8 meet in some band but for a chance of 5e-8.
 
     Sets that are equal become one class first, so copies cost one row each. In a bucket each class is
-    compared with one centre, the least id, not with all others. Passes follow over the buckets that
+    compared with one centre, the least one, not with all others. Passes follow over the buckets that
     still hold several components: their classes are compared with ``pivots`` further centres each,
     drawn anew in each pass, until a pass finds no link. So a pass costs rows in proportion to a
     bucket, whatever its size. Centres alone can miss links, so what they leave apart is joined exactly
     on the rarest shingles of each set (``_rest``): no two sets that share a bucket stay unlinked.
     """
-    docs = docs.select("doc_id", "text")
-    signed = stored(map_batches(docs, _signer(words, size, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
-    # only sets that occur again; written, so that both sides of the join are plain exchanges and a set that
-    # very many documents have is one side's skew, which Spark splits
-    again = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    classes = stored(again, "classes")
-    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep")
-    members = stored(signed.drop("bands").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", rep), "members")
-
-    # one row of each class brings its bands; repeated ids with one text are one row
-    reps = signed.where("n_shingles > 0").join(members.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi")
-    banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket")
-    buckets = stored(banded.join(shared, "bucket"), "buckets")
-    linked = _link(docs, buckets, words, percent, pivots)
-    found = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # the key of a row is settled when the table of signatures is written
+    found = _grouped(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), words, percent, size, rows, pivots)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128, rows: int = 4, pivots: int = 4) -> DataFrame:
+    """``docs`` with all its columns and one row of each component: the one of the least id, of equal ids one; null ids last.
+
+    Rows are numbered and written once, so that they can be told apart whatever their ids.
+    """
+    key = free_name(docs, "_row")
+    numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = _grouped(numbered.select(F.col(key).alias("row"), "doc_id", "text"), words, percent, size, rows, pivots)
+    gone = stored(found.where("not first").select(F.col("row").alias(key)), "gone")
+    return numbered.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def _rest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,10 +269,8 @@ def _rest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots: int) -> DataFrame:
-    """(node, root) over the classes in ``buckets``: passes of comparisons with centres, then all that is left."""
-    filt = IdFilter(buckets.select("doc_id").distinct(), "doc_id")
-    sets = stored(map_batches(docs.select("doc_id", "text", *filt.spots("doc_id")), _shingler(words, filt.keep), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+def _link(buckets: DataFrame, sets: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """(node, root) over the classes in ``buckets`` (id, n, bucket): passes of comparisons with centres, then all that is left."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -245,16 +280,16 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
     step = 0
     while True:
         if root is None:
-            state = buckets.withColumn("part", F.col("doc_id"))
-            centre = state.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "part")).alias("c"))
+            state = buckets.withColumn("part", F.col("id"))
+            centre = state.groupBy("bucket").agg(F.min(F.struct("id", "n", "part")).alias("c"))
         else:
-            state = buckets.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("part"))
+            state = buckets.join(root.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("part"))
             apart = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
             state = state.join(apart, "bucket")
-            order = [F.xxhash64("doc_id", F.lit(step * pivots + k)) for k in range(pivots)]
-            centre = state.groupBy("bucket").agg(F.array(*[F.min_by(F.struct("doc_id", "n", "part"), o) for o in order]).alias("c")).select("bucket", F.explode(F.array_distinct("c")).alias("c"))
-        fits = f"part <> c.part and doc_id <> c.doc_id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
-        pairs = state.join(centre, "bucket").where(fits).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+            order = [F.xxhash64("id", F.lit(step * pivots + k)) for k in range(pivots)]
+            centre = state.groupBy("bucket").agg(F.array(*[F.min_by(F.struct("id", "n", "part"), o) for o in order]).alias("c")).select("bucket", F.explode(F.array_distinct("c")).alias("c"))
+        fits = f"part <> c.part and id <> c.id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
+        pairs = state.join(centre, "bucket").where(fits).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -266,7 +301,7 @@ def _link(docs: DataFrame, buckets: DataFrame, words: int, percent: int, pivots:
         root = stored(components(links), "roots")
         step += 1
     # the last pass found nothing, so its buckets are those that are apart still
-    rest = stored(state.select(F.col("doc_id").alias("id"), "part").distinct(), "rest")
+    rest = stored(state.select("id", "part").distinct(), "rest")
     if rest.isEmpty():
         return root
     new = verified(stored(_rest(rest, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs"))

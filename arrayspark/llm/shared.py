@@ -41,6 +41,14 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes that ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,19 +73,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int, f
 
 
 class IdFilter:
-    """A Bloom filter over ids of a fixed number of bits: it lets rows pass that needn't, and never holds one back.
+    """A Bloom filter over ids: it lets rows pass that needn't, and never holds one back.
 
-    Its size is fixed, so it can go to every task at any scale; rows that pass are joined exactly afterwards.
+    It takes 16 bits an id and 4 MB at most, so it can go to every task at any scale; a fuller one lets more
+    rows pass. Rows that pass are joined exactly afterwards.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 23):
+    def __init__(self, ids: DataFrame, column: str, most: int = 1 << 25):
         import numpy as np
 
-        self.bits, self.words = bits, np.zeros(bits >> 6, np.uint64)
-        spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("at"))
+        self.bits = min(most, 1 << max(16, (16 * ids.count()).bit_length()))
+        self.words = np.zeros(self.bits >> 6, np.uint64)
+        spots = ids.select(F.explode(F.array(*self.spots(column))).alias("at"))
         # one row for each word of the filter at most, whatever the number of ids
-        got = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask")).toPandas()
-        self.words[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+        got = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask")).toArrow()
+        self.words[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
 
     def keep(self, spots) -> object:
         """``spots``: the same two positions for each row, as (rows, 2)."""
@@ -91,4 +101,4 @@ class IdFilter:
         return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(self.bits)).alias(f"_spot{k}") for k in (1, 2)]
 
 
-__all__ = ["IdFilter", "held_out", "labelled_sample", "map_batches", "seeds", "shared_dir", "stored", "table"]
+__all__ = ["IdFilter", "free_name", "held_out", "labelled_sample", "map_batches", "seeds", "shared_dir", "stored", "table"]
