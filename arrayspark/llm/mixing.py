@@ -3,20 +3,24 @@
 Sizes are counted in words. Each source gets a share of the wanted total by weight, at most ``cap``
 times what it has; the excess is shared again. The wanted tokens are then cut into blocks of equal
 size, and blocks go to sources one after the other, each to the source with the highest quotient
-target / (2 * seats + 1). A source's blocks are apportioned to its shards in the same way, by shard size.
-In a shard, documents stand in a seeded order, and its quota is a run of blocks around that circle
-from a seeded block on, as many full turns as it takes: so each row's words taken follow from its place alone.
+target / (2 * seats + 1). A source's blocks are apportioned in the same way to its groups of shards, by
+size, and a group's to its shards, each group in a task of its own. In a shard, documents stand in a
+seeded order, and its quota is a run of blocks around that circle from a seeded block on, as many full
+turns as it takes: so each row's words taken follow from its place alone. Shards have the same size in
+tables of all sizes; the driver sees a row for each source and for each group of 4096 shards.
 
 Defined results: null and empty texts have size 0 and nothing is taken from them; null is a source of
-its own, after all others; documents that tie in the seeded order are ordered by id and size, so
-repeated rows are interchangeable; an empty table gives an empty result; columns named in ``carry``
-are kept, further ones ignored.
+its own, after all others; a document belongs to a shard by its id and its whole row, so rows of one id
+are spread and rows that repeat are interchangeable; a document longer than a shard is a shard's, and
+one row's work; an empty table gives an empty result; columns named in ``carry`` are kept, but for those
+that are named as a result is; further ones are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,45 +72,75 @@ def sainte_lague(claims: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, shard_words: int = 50_000, max_shards: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+def share_out(claims: list[float], words: int, most: list[int], block: int) -> list[int]:
+    """``words`` apportioned in blocks by ``claims``, none above ``most``.
+
+    The last block of a part may be shorter than others; what it lacks goes to the first parts that have room.
+    """
+    seats = sainte_lague(claims, round(words / block), [-(-m // block) for m in most])
+    out = [min(k * block, m) for k, m in zip(seats, most, strict=True)]
+    left = words - sum(out)
+    for i, m in enumerate(most):
+        if left <= 0:
+            break
+        more = min(left, m - out[i], block)
+        out[i] += more
+        left -= more
+    return out
+
+
+#: Layouts of so many sources at most are sent to every task; more are joined by exchange.
+BROADCAST_SOURCES = 100_000
+#: Shards whose quotas one task makes.
+GROUP = 4096
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, shard_words: int = 50_000, block: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *carry, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
 
-    Weights go to the sources in code-point order, over and over. The driver sees a row for each shard:
-    shards grow beyond ``shard_words`` words only where there would be more than ``max_shards``.
+    Weights go to the sources in code-point order, over and over. Names and sizes of the sources are the driver's.
     """
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c not in ("doc_id", "size", "source_size", "target", "taken"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select("doc_id", F.col("source").alias("_source"), *carry, size.alias("size")), "sized")
-    found = sized.groupBy("_source").agg(F.sum("size").alias("n")).collect()
+    carried = F.struct(*carry) if carry else F.lit(None).cast("string")
+    spot = F.xxhash64("doc_id", "text", *carry, F.lit(seed))
+    sized = stored(docs.select("doc_id", F.col("source").alias("name"), carried.alias("carried"), spot.alias("spot"), size.alias("size")), "sized")
+    found = sized.groupBy("name").agg(F.sum("size").alias("n")).collect()
     sources = sorted(found, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))  # bytes of UTF-8 sort by code point
     sizes = [r["n"] for r in sources]
-    total = sum(sizes)
-    want = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], share * total, cap)
-    per_shard = max(shard_words, -(-total // max_shards))
-    shards = [max(1, -(-n // per_shard)) for n in sizes]
-    # blocks so small that the least source still gets its share to a thousandth
-    block = max(1, min(64, min((n for n in sizes if n), default=1) // 1000))
-    quota = sainte_lague(want, round(sum(want) / block), [int(cap * n) // block for n in sizes])
-
-    names = "_source string, _shards long"
-    layout = spark.createDataFrame([(r[0], s) for r, s in zip(sources, shards, strict=True)], names) if sources else spark.createDataFrame([], names)
-    placed = sized.join(layout.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "_shards")).drop("_shards")
-    inside: dict = {}
-    for r in placed.groupBy("_source", "_shard").agg(F.sum("size").alias("n")).collect():
-        inside.setdefault(r[0], []).append((r[1], r[2]))
+    want = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], share * sum(sizes), cap)
+    quota = share_out(want, round(sum(want)), [int(cap * n) for n in sizes], block)
+
+    rows = [(r[0], i, max(1, -(-n // shard_words)), n, want[i]) for i, (r, n) in enumerate(zip(sources, sizes, strict=True))]
+    layout = spark.createDataFrame(rows, "known string, s int, shards long, source_size long, target double")
+    if len(rows) <= BROADCAST_SOURCES:
+        layout = F.broadcast(layout)
+    placed = sized.join(layout, F.col("name").eqNullSafe(F.col("known"))).withColumn("shard", F.pmod("spot", "shards"))
+    shards = placed.groupBy("s", "shard").agg(F.sum("size").alias("n"))
+    shards = stored(shards.withColumn("g", F.expr(f"shard div {GROUP}")), "shards")
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for r in shards.groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
+        groups.setdefault(r["s"], []).append((r["g"], r["n"]))
     rows = []
-    for i, r in enumerate(sources):
-        own = sorted(inside.get(r[0], []))
-        seats = sainte_lague([float(n) for _, n in own], quota[i], [int(cap * n) // block for _, n in own])
-        rows += [(r[0], shard, n, seat * block, sizes[i], want[i]) for (shard, n), seat in zip(own, seats, strict=True)]
-    plan = spark.createDataFrame(rows, "_s string, _p long, _n long, _quota long, source_size long, target double")
-    out = placed.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_p"))).drop("_s", "_p")
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
-    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("_end", end).withColumn("_start", F.expr("_end - size"))
+    for i, own in sorted(groups.items()):
+        own = sorted(own)
+        words = share_out([float(n) for _, n in own], quota[i], [int(cap * n) for _, n in own], block)
+        rows += [(i, g, q) for (g, _), q in zip(own, words, strict=True)]
+    given = spark.createDataFrame(rows, "s int, g long, q long")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        words = share_out([float(n) for n in pdf["n"]], int(pdf["q"].iloc[0]), [int(cap * n) for n in pdf["n"]], block)
+        return pdf[["s", "shard", "n"]].assign(quota=words)
+
+    plan = stored(shards.join(given, ["s", "g"]).groupBy("s", "g").applyInPandas(inside, "s int, shard long, n long, quota long"), "quotas")
+    out = placed.join(plan, ["s", "shard"])
+    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64("spot", F.lit(seed + 1)), "doc_id", "spot", "size")
+    out = out.withColumn("to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.expr("to - size"))
     # the run of the quota's last turn begins at a seeded block
-    out = out.withColumn("_from", F.expr(f"if(_n > 0, pmod(xxhash64(_source, _shard, {seed + 2}L), greatest(1L, _n div {block})) * {block}, 0L)"))
-    out = out.withColumn("_turns", F.expr("if(_n > 0, _quota div _n, 0L)")).withColumn("_to", F.expr("_from + if(_n > 0, _quota % _n, 0L)"))
-    cut = "greatest(0L, least(_end, least(_to, _n)) - greatest(_start, _from)) + greatest(0L, least(_end, _to - _n) - _start)"
-    return out.select("doc_id", *carry, "size", "source_size", "target", F.expr(f"_turns * size + {cut}").alias("taken"))
+    out = out.withColumn("begin", F.expr(f"if(n > 0, pmod(xxhash64(name, shard, {seed + 2}L), greatest(1L, n div {block})) * {block}, 0L)"))
+    out = out.withColumn("turns", F.expr("if(n > 0, quota div n, 0L)")).withColumn("end", F.expr("begin + if(n > 0, quota % n, 0L)"))
+    cut = "greatest(0L, least(to, least(end, n)) - greatest(from, begin)) + greatest(0L, least(to, end - n) - from)"
+    kept = [F.col("carried")[c].alias(c) for c in carry]
+    return out.select("doc_id", *kept, "size", "source_size", "target", F.expr(f"turns * size + {cut}").alias("taken"))

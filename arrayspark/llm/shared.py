@@ -62,14 +62,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int, f
     """(doc_id, text, label) of at most ``rows`` labelled documents outside ``fold``.
 
     The sample is the labels with the least hash of their id, so it doesn't depend on partitions. Its
-    bound makes it safe to broadcast. Of repeated ids, one text each comes in for every row.
+    bound makes it safe to broadcast. Of an id with several texts, that of the least hash comes in, and of
+    one with several labels the greatest.
     """
     chosen = (
         labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return one.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("x.text").alias("text"), "label")
 
 
 class IdFilter:
