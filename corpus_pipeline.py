@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from arrayspark.llm import decontaminate as leaks
 from arrayspark.llm import mixing, near_dedup, pii, toxicity
-from arrayspark.llm.shared import stored, table
+from arrayspark.llm.shared import free_name, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; null and empty texts stay."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.toxicity(docs, toxicity.fit(docs, labels), name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = free_name(docs, "_toxicity")
+    return toxicity.toxicity(docs, toxicity.fit(docs, labels), name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words from, by id, with how many; a text is taken again if ``taken`` exceeds ``size``."""
-    return mixing.mixture(docs, carry=("lang", "source", "n_chars")).where("taken > 0")
+    """The documents that the mix takes words from, with all their columns and how many words; a text is taken again if ``taken`` exceeds ``size``."""
+    return mixing.mixture(docs, carry=tuple(docs.columns)).where("taken > 0")
 
 
 STAGES = [
