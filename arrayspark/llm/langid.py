@@ -6,7 +6,8 @@ whole texts count. The network is trained with numpy by backpropagation through
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows have equal
 results; ties go to the language that sorts first; an empty table gives an empty result; without any
-labelled text every prediction is ``und``; further columns are ignored.
+labelled text every prediction is ``und``; a very long text is one task's, block by block of windows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held_out, map_batches
@@ -28,73 +29,92 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
+    """In place, by the exponential, which numpy vectorises; overflow to infinity gives the limit, 0."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    x += x
+    _sigmoid(x)
+    x += x
+    x -= 1
     return x
 
 
-def _layer(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (steps, rows, hidden) of direction ``d`` over bytes ``x`` (steps, rows), in reading order."""
-    h = np.zeros((x.shape[1], p[f"uz{d}"].shape[0]), np.float32)
-    out = np.empty((len(x), *h.shape), np.float32)
-    for t in range(len(x)):
-        b = x[t]
-        z = _sigmoid(p[f"wz{d}"].take(b, 0) + h @ p[f"uz{d}"])
-        r = _sigmoid(p[f"wr{d}"].take(b, 0) + h @ p[f"ur{d}"])
-        q = h @ p[f"un{d}"]
-        n = np.tanh(p[f"wn{d}"].take(b, 0) + r * q)
-        if keep is not None:
-            keep.append((b, h, z, r, q, n))
-        h = n + z * (h - n)
-        out[t] = h
+def states(p: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States (steps, direction, rows, hidden) over bytes ``x`` (steps, rows), each direction in its reading order.
+
+    ``w`` (gate, direction, byte, hidden) and ``u`` (gate, direction, hidden, hidden) hold the gates update,
+    reset and candidate, so a step is one look-up and one product for both directions.
+    """
+    gates, both, _, hidden = p["w"].shape
+    table = p["w"].reshape(-1, hidden)
+    base = (np.arange(gates * both) * 256).reshape(gates, both, 1)
+    h = np.zeros((both, x.shape[1], hidden), p["w"].dtype)
+    out = np.empty((len(x), *h.shape), h.dtype)
+    with np.errstate(over="ignore"):
+        for t in range(len(x)):
+            at = base + np.stack([x[t], x[len(x) - 1 - t]])
+            g, q = table.take(at, 0), h @ p["u"]
+            g[:2] += q[:2]
+            z, r = _sigmoid(g[:2])
+            n = _tanh(g[2] + r * q[2])
+            if keep is not None:
+                keep.append((at, h, z, r, q[2], n))
+            h = n + z * (h - n)
+            out[t] = h
     return out
 
 
-def _back(p: dict[str, np.ndarray], d: str, kept: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+def back(p: dict[str, np.ndarray], kept: list, dout: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of ``w`` and ``u`` from those of the states, by backpropagation through time."""
+    hidden = dout.shape[-1]
+    du = np.zeros_like(p["u"])
+    spots, parts = [], []
     dh = np.zeros_like(dout[0])
     for t in range(len(kept) - 1, -1, -1):
-        b, h, z, r, q, n = kept[t]
+        at, h, z, r, q, n = kept[t]
         dh = dh + dout[t]
-        dz = dh * (h - n) * z * (1 - z)
         dn = dh * (1 - z) * (1 - n * n)
-        dr = dn * q * r * (1 - r)
-        dq = dn * r
-        for name, g, s in (("z", dz, dz), ("r", dr, dr), ("n", dq, dn)):
-            grad[f"u{name}{d}"] += h.T @ g
-            np.add.at(grad[f"w{name}{d}"], b, s)
-        dh = dh * z + dz @ p[f"uz{d}"].T + dr @ p[f"ur{d}"].T + dq @ p[f"un{d}"].T
-
-
-def train_network(windows: np.ndarray, label: np.ndarray, classes: int, hidden: int = 8, steps: int = 400, rows: int = 256, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
+        dg = np.stack([dh * (h - n) * z * (1 - z), dn * q * r * (1 - r), dn])
+        dq = np.stack([dg[0], dg[1], dn * r])
+        du += h.transpose(0, 2, 1) @ dq
+        spots.append(at.ravel())
+        parts.append(dg.reshape(-1, hidden))
+        dh = dh * z + (dq @ p["u"].transpose(0, 1, 3, 2)).sum(axis=0)
+    spot, part = np.concatenate(spots), np.concatenate(parts)
+    order = np.argsort(spot.astype(np.int16), kind="stable")
+    first = np.flatnonzero(np.diff(spot[order], prepend=-1))
+    dw = np.zeros((p["w"].size // hidden, hidden), p["w"].dtype)
+    dw[spot[order[first]]] = np.add.reduceat(part[order], first)
+    return {"w": dw.reshape(p["w"].shape), "u": du}
+
+
+def train_network(windows: np.ndarray, label: np.ndarray, classes: int, hidden: int = 8, steps: int = 200, rows: int = 256, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters after ``steps`` of Adam on (n, WINDOW) bytes; each position is trained on its text's label."""
     rng = np.random.default_rng(seed)
-    p = {}
-    for d in "fb":
-        for g in "zrn":
-            p[f"w{g}{d}"] = rng.normal(0, 0.3, (256, hidden)).astype(np.float32)
-            p[f"u{g}{d}"] = rng.normal(0, 0.3, (hidden, hidden)).astype(np.float32)
-    p["v"], p["c"] = rng.normal(0, 0.3, (2 * hidden, classes)).astype(np.float32), np.zeros(classes, np.float32)
+    shapes = {"w": (3, 2, 256, hidden), "u": (3, 2, hidden, hidden), "v": (2 * hidden, classes)}
+    p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in shapes.items()} | {"c": np.zeros(classes, np.float32)}
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     by = [np.flatnonzero(label == c) for c in range(classes)]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(ix, max(1, rows // classes)) for ix in by if len(ix)])  # languages in equal parts
         x, y = windows[pick].T, label[pick]
-        fk: list = []
-        bk: list = []
-        hs = np.concatenate([_layer(p, "f", x, fk), _layer(p, "b", x[::-1], bk)[::-1]], axis=2)
+        kept: list = []
+        out = states(p, x, kept)
+        hs = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
         logit = hs @ p["v"] + p["c"]
         prob = np.exp(logit - logit.max(axis=2, keepdims=True))
         prob /= prob.sum(axis=2, keepdims=True)
         prob[:, np.arange(len(y)), y] -= 1
         prob /= prob.shape[0] * prob.shape[1]
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        grad["v"] = np.einsum("trh,trc->hc", hs, prob)
-        grad["c"] = prob.sum(axis=(0, 1))
         dhs = prob @ p["v"].T
-        _back(p, "f", fk, dhs[:, :, :hidden], grad)
-        _back(p, "b", bk, dhs[::-1, :, hidden:], grad)
+        grad = back(p, kept, np.stack([dhs[:, :, :hidden], dhs[::-1, :, hidden:]], axis=1))
+        grad["v"] = hs.reshape(-1, 2 * hidden).T @ prob.reshape(-1, classes)
+        grad["c"] = prob.sum(axis=(0, 1))
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
             m[k] += 0.1 * (grad[k] - m[k])
@@ -110,9 +130,10 @@ class LanguageModel:
 
     def positions(self, windows: np.ndarray) -> np.ndarray:
         """(steps, rows, languages) distributions of bytes ``windows`` (rows, steps)."""
-        x = np.ascontiguousarray(windows.T)
-        logit = _layer(self.p, "f", x) @ self.p["v"][: len(self.p["uzf"])]
-        logit += _layer(self.p, "b", x[::-1])[::-1] @ self.p["v"][len(self.p["uzf"]) :] + self.p["c"]
+        out = states(self.p, np.ascontiguousarray(windows.T))
+        hidden = out.shape[-1]
+        logit = out[:, 0] @ self.p["v"][:hidden]
+        logit += out[::-1, 1] @ self.p["v"][hidden:] + self.p["c"]
         np.clip(logit, -40, 40, out=logit)
         np.exp(logit, out=logit)
         logit /= logit @ np.ones((logit.shape[2], 1), np.float32)
@@ -144,34 +165,38 @@ class LanguageModel:
 def fit(docs: DataFrame, per_language: int = 400, windows: int = 6, **options) -> LanguageModel | None:
     """A model of ``lang`` from about ``per_language`` texts of each language outside the held-out fold (documented bound).
 
-    Texts enter by a hash of their id below a language's rate, and give ``windows`` windows each, so
-    what the driver gets doesn't grow with the table.
+    Texts enter by a hash of their id below a language's rate, and give ``windows`` windows each; of all that
+    enter, a language keeps twice ``per_language * windows`` different ones at most, so what the driver gets
+    doesn't grow with the table even if all rows have one id. The languages themselves are the driver's.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 3, 1))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    spot = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 3, 1)).select("doc_id", "lang", "text", spot.alias("spot"))
+    counts = {r[0]: (r[1], r[2]) for r in known.groupBy("lang").agg(F.count("*"), F.min("spot")).collect()}
     if not counts:
         return None
     languages = tuple(sorted(counts))
-    rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000)
+    # below the rate, and the least id whatever the rate
+    below = F.create_map(*[F.lit(x) for k in languages for x in (k, max(int(1_000_000 * min(1.0, per_language / counts[k][0])), counts[k][1] + 1))])
+    chosen = known.where(F.col("spot") < below[F.col("lang")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             buf, off = buffers(part.column(2))
-            ids, nth, langs, out = [], [], [], []
-            for i, (doc, lang) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+            langs, out = [], []
+            for i, lang in enumerate(part.column(1).to_pylist()):
                 text = buf[off[i] : off[i + 1]]
                 if not _ASCII_LETTER[text].any() and not (text > 127).any():
                     continue
                 for k in range(min(windows, max(1, len(text) // WINDOW))):
                     at = (k * max(1, len(text) - WINDOW)) // windows
-                    ids.append(doc)
-                    nth.append(k)
                     langs.append(lang)
                     out.append(text[at : at + WINDOW].tobytes().ljust(WINDOW))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["id", "k", "lang", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "w"])
 
-    got = map_batches(chosen.select("doc_id", "lang", "text"), cut, "id long, k int, lang string, w binary").toArrow().sort_by([("id", "ascending"), ("k", "ascending"), ("w", "ascending")])
+    cuts = map_batches(chosen.select("doc_id", "lang", "text"), cut, "lang string, w binary").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("w"), "w")
+    kept = cuts.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * per_language * windows)
+    got = kept.select("lang", "w").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from arrayspark.llm import decontaminate, langid, media, mixing, near_dedup, pii, quality, textblocks, toxicity
 from arrayspark.llm.components import components, union_find
+from arrayspark.llm.shared import labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BLANKS = r"[^\x20\x09-\x0D]+"
@@ -382,25 +383,67 @@ def test_declared_types_are_corrected(spark):
 # ---------------------------------------------------------------- language
 
 
-def test_gradient():
+def plain_states(p, text, d):
+    """States of direction ``d`` in reading order, one number after the other."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, out = np.zeros(p["w"].shape[-1]), []
+    for b in text if d == 0 else text[::-1]:
+        z, r = (sigmoid(p["w"][g, d, b] + h @ p["u"][g, d]) for g in (0, 1))
+        n = np.tanh(p["w"][2, d, b] + r * (h @ p["u"][2, d]))
+        h = (1 - z) * n + z * h
+        out.append(h)
+    return np.array(out)
+
+
+def random_network(hidden, classes, kind="f8"):
     rng = np.random.default_rng(1)
-    p = {f"{w}{g}{d}": rng.normal(0, 0.5, (256, 3) if w == "w" else (3, 3)) for w in "wu" for g in "zrn" for d in "f"}
+    sizes = {"w": (3, 2, 256, hidden), "u": (3, 2, hidden, hidden), "v": (2 * hidden, classes), "c": (classes,)}
+    return {k: rng.normal(0, 0.5, s).astype(kind) for k, s in sizes.items()}
+
+
+def test_states_are_those_of_a_gated_network():
+    p = random_network(3, 2)
+    x = np.random.default_rng(2).integers(0, 256, (5, 4))
+    got = langid.states(p, x)
+    for row in range(4):
+        for d in (0, 1):
+            np.testing.assert_allclose(got[:, d, row], plain_states(p, x[:, row], d))
+
+
+def test_gradient():
+    p = random_network(3, 2)
+    rng = np.random.default_rng(3)
     x = rng.integers(0, 256, (5, 4))
-    target = rng.normal(size=(5, 4, 3))
+    target = rng.normal(size=(5, 2, 4, 3))
     kept: list = []
-    langid._layer(p, "f", x, kept)
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    langid._back(p, "f", kept, target, grad)
-    loss = lambda: float((langid._layer(p, "f", x).astype("float64") * target).sum())
-    for k in p:
-        at = (int(x[2, 1]), 1) if k[0] == "w" else (1, 2)
-        old = p[k][at]
-        p[k][at] = old + 1e-2
-        up = loss()
-        p[k][at] = old - 1e-2
-        down = loss()
-        p[k][at] = old
-        assert math.isclose((up - down) / 2e-2, grad[k][at], rel_tol=2e-2, abs_tol=2e-3), k
+    langid.states(p, x, kept)
+    grad = langid.back(p, kept, target)
+    loss = lambda: float((langid.states(p, x) * target).sum())
+    for k, last in (("w", int(x[2, 1])), ("u", 1)):
+        for at in itertools.product(range(3), range(2), [last], range(3)):
+            old = p[k][at]
+            p[k][at] = old + 1e-5
+            up = loss()
+            p[k][at] = old - 1e-5
+            down = loss()
+            p[k][at] = old
+            assert math.isclose((up - down) / 2e-5, grad[k][at], rel_tol=1e-5, abs_tol=1e-7), (k, at)
+
+
+def test_sample_of_languages_is_bounded(spark):
+    texts = [" ".join(words(i, 40)) for i in range(400)]
+    docs = frame(spark, texts).withColumn("doc_id", F.lit(7).cast("long"))
+    seen = {}
+    real, langid.train_network = langid.train_network, lambda x, y, n, **o: seen.update(rows=len(x)) or random_network(2, n, "f4")
+    try:
+        langid.fit(docs, per_language=10, windows=3)
+        assert seen["rows"] == 2 * 10 * 3
+        langid.fit(frame(spark, texts), per_language=10, windows=3)
+        assert 0 < seen["rows"] <= 60
+    finally:
+        langid.train_network = real
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, label int")
+    assert labelled_sample(docs, labels, 100, 5, 0).count() == 1
 
 
 def test_language(spark):
@@ -423,20 +466,23 @@ def test_language(spark):
 
 
 def test_pooling_covers_whole_texts():
-    rng = np.random.default_rng(1)
-    p = {f"{w}{g}{d}": rng.normal(0, 0.3, (256, 4) if w == "w" else (4, 4)).astype("f4") for w in "wu" for g in "zrn" for d in "fb"} | {"v": rng.normal(size=(8, 2)).astype("f4"), "c": np.zeros(2, "f4")}
+    p = random_network(4, 2, "f4")
     model = langid.LanguageModel(("a", "b"), p)
-    texts = ["", "x", "abc" * 50, "q" * langid.WINDOW, "tail"]
+    texts = ["", "x", "abc" * 50, "q" * langid.WINDOW, "tail é", "long " * 5000]
     got = model.documents(*textblocks.buffers(pa.array(texts)), block=2)
     for t, g in zip(texts, got, strict=True):
-        b = np.frombuffer(t.encode(), np.uint8)
+        b = t.encode()
         want = np.zeros(2)
-        for a in range(0, len(b), langid.WINDOW):
-            w = np.full(langid.WINDOW, 32, np.uint8)
+        for a in range(0, min(len(b), 3 * langid.WINDOW) if len(t) > 5000 else len(b), langid.WINDOW):
             part = b[a : a + langid.WINDOW]
-            w[: len(part)] = part
-            want += model.positions(w[None])[: len(part), 0].sum(axis=0)
-        np.testing.assert_allclose(g, want / max(1, len(b)), rtol=1e-5)
+            w = part.ljust(langid.WINDOW)
+            logit = plain_states(p, w, 0) @ p["v"][:4] + plain_states(p, w, 1)[::-1] @ p["v"][4:] + p["c"]
+            e = np.exp(logit)
+            want += (e / e.sum(axis=1, keepdims=True))[: len(part)].sum(axis=0)
+        if len(t) <= 5000:
+            np.testing.assert_allclose(g, want / max(1, len(b)), rtol=1e-4)
+        else:
+            assert math.isclose(g.sum(), 1, rel_tol=1e-4)
 
 
 # ---------------------------------------------------------------- mixing
