@@ -9,7 +9,8 @@ forward and backward passes need are prefix products, made in log2(longest chain
 
 Defined results: null and empty texts, and texts of line ends only, have the score of the empty line
 alone; repeated rows have equal scores; an empty table gives an empty result; without a label for each
-class the score is the share of label 1; further columns are ignored.
+class the score is the share of label 1; a very long text is one task's, in time and memory proportional
+to it; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import labelled_sample, map_batches
+from .shared import labelled_sample, map_batches, stored
 from .textblocks import BLANK, BYTE_LOWER, buffers, runs, slices, span_hashes, tokens
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 11, 12, 13, 32), "high": range(128, 256), "stop": b".,;:?", "mark": b"!|*#%&$~^_=<>{}[]@\\/+", "bang": b"!", "pipe": b"|"}
@@ -156,10 +157,10 @@ class LineField:
         return np.clip((own - self.mean) / self.scale, -4, 4)
 
 
-def train_field(own: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.08, ridge: float = 1e-3) -> LineField:
+def train_field(own: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.08, ridge: float = 1e-3, batch: int = 512, seed: int = 7) -> LineField:
     """A field from the lines of labelled texts, each line with its text's label, by Adam on the conditional likelihood.
 
-    Texts weigh alike, however long, and so do both labels.
+    Texts weigh alike, however long, and so do both labels. A step takes ``batch`` texts, in a seeded order.
     """
     share = float(label.mean()) if len(label) else 0.5
     mean, scale = (own.mean(axis=0), own.std(axis=0) + 1e-3) if len(own) else (np.zeros(N_OWN), np.ones(N_OWN))
@@ -168,17 +169,26 @@ def train_field(own: np.ndarray, first: np.ndarray, label: np.ndarray, steps: in
         return LineField(mean, scale, zero, np.zeros((2, 2)), share)
     field = LineField(mean, scale, zero, np.zeros((2, 2)))
     x = with_neighbours(field._scaled(own), first)
-    doc = runs(first)
-    y = label[doc].astype(np.float64)
-    weight = (1 / np.diff(first) / np.where(label == 1, share, 1 - share) / len(label) / 2)[doc]
-    inner = np.ones(len(y), bool)
-    inner[first[:-1]] = False
-    seen = np.stack([[(weight * inner * (y == a) * (y == b)).sum() for b in (0, 1)] for a in (0, 1)])
+    size = np.diff(first)
+    each = 1 / size / np.where(label == 1, share, 1 - share) / 2
     w, t = zero.copy(), np.zeros((2, 2))
     m, s = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+    rng = np.random.default_rng(seed)
+    queue = np.zeros(0, np.int64)
     for step in range(1, steps + 1):
-        good, pair = marginals(x @ w, t, first)
-        g = np.concatenate([x.T @ (weight * (good - y)) + ridge * w, ((pair * (weight * inner)[:, None, None]).sum(axis=0) - seen + ridge * t).ravel()])
+        if len(queue) < min(batch, len(size)):
+            queue = np.concatenate([queue, rng.permutation(len(size))])
+        pick, queue = queue[:batch], queue[batch:]
+        begin = np.concatenate([[0], np.cumsum(size[pick])])
+        rows = np.repeat(first[pick] - begin[:-1], size[pick]) + np.arange(begin[-1])
+        part, y = x[rows], np.repeat(label[pick], size[pick]).astype(np.float64)
+        weight = np.repeat(each[pick], size[pick]) / len(pick)
+        inner = weight.copy()
+        inner[begin[:-1]] = 0
+        good, pair = marginals(part @ w, t, begin)
+        before = np.concatenate([[0], y[:-1]])
+        seen = np.stack([[(inner * (before == a) * (y == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        g = np.concatenate([part.T @ (weight * (good - y)) + ridge * w, ((pair * inner[:, None, None]).sum(axis=0) - seen + ridge * t).ravel()])
         m += 0.1 * (g - m)
         s += 0.01 * (g * g - s)
         d = rate * min(1.0, 2 * (1 - step / (steps + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
@@ -188,22 +198,36 @@ def train_field(own: np.ndarray, first: np.ndarray, label: np.ndarray, steps: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, lines: int = 200_000, **options) -> LineField:
-    """A field from at most ``rows`` labelled texts of ``lines`` lines together (documented bounds)."""
+    """A field from at most ``rows`` labelled texts of ``lines`` lines together (documented bounds).
+
+    Texts enter in the order of a hash of their id; one whose lines would exceed the bound is passed over.
+    """
+    sample = stored(labelled_sample(docs, labels, rows, 5, 0), "sample")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            first = line_features(*buffers(part.column(1)))[2]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first))], names=["doc_id", "n"])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             own, _, first = line_features(*buffers(part.column(1)))
             cells = pa.ListArray.from_arrays(pa.array((first * N_OWN).astype(np.int32)), pa.array(own.ravel()))
-            small = np.diff(first) <= lines // 10
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cells], names=["doc_id", "label", "x"]).filter(pa.array(small))
-
-    got = map_batches(labelled_sample(docs, labels, rows, 5, 0), described, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    cells = got.column("x").combine_chunks() if got.num_rows else None
-    size = np.diff(cells.offsets.to_numpy()) // N_OWN if cells is not None else np.zeros(0, np.int64)
-    keep = int(np.searchsorted(np.cumsum(size), lines, "right"))
-    first = np.concatenate([[0], np.cumsum(size[:keep])]).astype(np.int64)
-    own = cells.values.to_numpy().reshape(-1, N_OWN)[: first[-1]] if keep else np.zeros((0, N_OWN), np.float32)
-    return train_field(own, first, got.column("label").to_numpy()[:keep] if keep else np.zeros(0), **options)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cells], names=["doc_id", "label", "x"])
+
+    sizes = map_batches(sample, counted, "doc_id long, n long").select("doc_id", "n", F.xxhash64("doc_id", F.lit(19)).alias("h")).collect()
+    left, chosen = lines, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["doc_id"],))
+    few = sample.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    got = map_batches(few, described, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    if not got.num_rows:
+        return train_field(np.zeros((0, N_OWN), np.float32), np.zeros(1, np.int64), np.zeros(0), **options)
+    cells = got.column("x").combine_chunks()
+    first = cells.offsets.to_numpy().astype(np.int64) // N_OWN
+    return train_field(cells.values.to_numpy().reshape(-1, N_OWN), first, got.column("label").to_numpy(), **options)
 
 
 def quality(docs: DataFrame, field: LineField) -> DataFrame:
