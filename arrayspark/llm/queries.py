@@ -48,7 +48,10 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages"), carry=("page_id",)), carry=("page_id",))
+    """Pages are written as response records, read back from their bytes, and converted."""
+    key = ("page_id",)
+    written = warc.serialise(warc.as_records(warc.responses(table(spark, sf_dir, "pages"), carry=key), key), key)
+    return warc.derive(warc.parse(written, key), key)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

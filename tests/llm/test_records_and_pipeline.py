@@ -59,7 +59,11 @@ def test_warc_derivatives(spark):
     schema = "page_id long, url string, html string"
     df = spark.createDataFrame(PAGES, schema).withColumn("block", F.lit("b"))
     made = warc.derive(warc.responses(df, carry=("page_id",)), carry=("page_id",))
-    assert rows(made) == duck(warc.SQL, pages=pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
+    want = duck(warc.SQL, pages=pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
+    assert rows(made) == want
+    for packed in (False, True):  # by way of the bytes of WARC files, plain and packed
+        files = warc.serialise(warc.as_records(warc.responses(df, carry=("page_id",)), ("page_id",)), ("page_id",), packed)
+        assert rows(warc.derive(warc.parse(files, ("page_id",)), ("page_id",))) == want
     assert warc.derive(warc.responses(spark.createDataFrame([], schema))).collect() == []
     first = {r.record_type: r for r in made.collect() if r.target_uri == "http://a.example/x" and ("Hello" in r.block or "language: fr" in r.block)}
     assert first["conversion"].block == "A b\nHello w&lt;'\nxy"
@@ -68,15 +72,35 @@ def test_warc_derivatives(spark):
 
 
 def test_warc_files_round_trip(spark):
-    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: 60\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x\xc3\xa9</p>\r\n\r\n"
-    other = b"WARC/1.1\r\nWARC-Type: warcinfo\r\n\r\nsoftware: x\r\n\r\n"
-    got = warc.parse(spark.createDataFrame([(bytearray(record),), (bytearray(other),)], "record binary"))
-    (r,) = got.collect()
-    assert (r.record_id, r.target_uri, r.warc_date, r.payload) == ("<urn:uuid:1>", "http://a", "2024-01-01T00:00:00Z", "<p>xé</p>") and r.http_header.startswith("HTTP/1.1 200 OK\r\n")
-    made = warc.derive(got)
-    files = {bytes(x.record) for x in warc.serialise(made).collect()}
-    text = next(f for f in files if b"WARC-Type: conversion" in f)
-    assert b"WARC-Refers-To: <urn:uuid:1>\r\n" in text and text.endswith("\r\n\r\nxé\r\n\r\n".encode()) and b"Content-Length: 3\r\n" in text
+    import gzip
+
+    make = lambda i, body, head="Content-Type: text/html", stated="": b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nWARC-Target-URI: http://a\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n%sContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n%s\r\n\r\n%s\r\n\r\n" % (i, stated.encode(), len(head) + 21 + len(body), head.encode(), body)
+    odd = b"\xff\xfe WARC/1.1\r\n\r\n\x00<p>b</p>"
+    first = make(1, "<p>xé</p>".encode(), stated="WARC-Payload-Digest: sha1:ABC\r\n")
+    second, latin = make(2, odd), make(3, b"<p>\xe9</p>", "Content-Type: text/html; charset=ISO-8859-1")
+    other = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 13\r\n\r\nsoftware: x\r\n\r\n\r\n"
+    plain = other + first + second + latin
+    packed = b"".join(map(gzip.compress, (other, first, second, latin)))
+    files = [plain, packed, gzip.compress(plain), None, b"", b"no records", first[:150], b"junk" + other + latin[:-5]]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "file int, record binary")
+    got = sorted((tuple(r) for r in warc.parse(df, ("file",)).collect()), key=str)
+    for k in (0, 1, 2):
+        a, b, c = [r for r in got if r[0] == k]
+        assert a[1:] == ("<urn:uuid:1>", "http://a", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n", "<p>xé</p>".encode(), "sha1:ABC")
+        assert (b[1], bytes(b[5])) == ("<urn:uuid:2>", odd) and b[6].startswith("sha256:") and bytes(c[5]) == b"<p>\xe9</p>"
+    assert [(r[0], bytes(r[5])) for r in got if r[0] > 2] == [(7, b"<p>\xe9</p")]
+    assert warc.records(df, ("file",)).where("file = 0").count() == 4
+    made = warc.derive(warc.parse(df.where("file = 1")))
+    text = {r.refers_to: r for r in made.collect() if r.record_type == "conversion"}
+    assert [text[f"<urn:uuid:{k}>"].block for k in (1, 2, 3)] == ["xé", "\ufffd\ufffd WARC/1.1 \x00\nb", "é"] and text["<urn:uuid:1>"].payload_digest == "sha1:ABC"
+    # what is written can be read: links, digests and blocks stay
+    back = {r.record_id: r for r in warc.records(warc.serialise(made, gzip=True)).collect()}
+    assert len(back) == 6
+    for r in made.collect():
+        b = back[r.record_id]
+        assert (b.record_type, b.refers_to, b.target_uri, b.payload_digest, b.block_digest, bytes(b.block).decode()) == (r.record_type, r.refers_to, r.target_uri, r.payload_digest, r.block_digest, r.block)
+    record = bytes(warc.serialise(made.where("record_type = 'conversion' and refers_to like '%1>'")).first().record)
+    assert b"WARC-Refers-To: <urn:uuid:1>\r\n" in record and b"WARC-Payload-Digest: sha1:ABC\r\n" in record and record.endswith("Content-Length: 3\r\n\r\nxé\r\n\r\n".encode())
 
 
 @pytest.fixture(scope="module")
