@@ -5,13 +5,17 @@ such place the format's validator walks the structure and returns the length it
 overlapping finds the leftmost stays. A blob that is one confirmed format from its first byte to its
 last has that type, whatever was declared; finds elsewhere are embedded media.
 
+A validator that ran to the end of a blob in vain tells the next ones so, so that many false magic
+bytes don't each cost a walk to the end (but for gzip, where each costs what it inflates).
+
 Defined results: null counts as an empty blob, which has no media and keeps its declared type;
-repeated rows have equal results; an empty table gives an empty result; columns named in ``carry``
-are kept, others ignored.
+repeated rows have equal results; a very long blob is one task's, in time and memory proportional to
+it; an empty table gives an empty result; columns named in ``carry`` are kept, others ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,14 +24,17 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import map_batches
+from .textblocks import buffers, slices
 
 # ---------------------------------------------------------------- validators: length from the first byte, or None
+# ``vain`` belongs to the blob and keeps what is known to lead nowhere
 
 
-def _wav(b: bytes, at: int) -> int | None:
+def _wav(b: bytes, at: int, vain: dict) -> int | None:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -41,7 +48,7 @@ def _wav(b: bytes, at: int) -> int | None:
     return end - at if spot >= end and spot - end <= 1 and {b"fmt ", b"data"} <= seen else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, vain: dict) -> int | None:
     if len(b) < at + 54:
         return None
     size, _, start, header, w, h, planes, depth, method, image = struct.unpack_from("<IIIIiiHHII", b, at + 2)
@@ -51,7 +58,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if need <= size <= len(b) - at and image in (0, need - start) else None
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, vain: dict) -> int | None:
     spot, first = at + 8, True
     while spot + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, spot)
@@ -63,7 +70,8 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, vain: dict) -> int | None:
+    ends, walked = vain.setdefault("gif", set()), []  # blocks of a chain without an end
     try:
         flags = b[at + 10]
         spot = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
@@ -76,14 +84,19 @@ def _gif(b: bytes, at: int) -> int | None:
             else:
                 return None
             while b[spot]:
+                if spot in ends:
+                    return None
+                walked.append(spot)
                 spot += b[spot] + 1
+            walked.clear()
             spot += 1
         return spot + 1 - at
     except IndexError:
+        ends.update(walked)
         return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, vain: dict) -> int | None:
     spot = at + 2
     while spot + 4 <= len(b) and b[spot] == 0xFF:
         mark, n = b[spot + 1], int.from_bytes(b[spot + 2 : spot + 4], "big")
@@ -91,6 +104,9 @@ def _jpeg(b: bytes, at: int) -> int | None:
             return None
         spot += 2 + n
         if mark == 0xDA:
+            if spot >= vain.get("jpeg", len(b)):
+                return None  # from here on there is no mark
+            begin = spot
             while (spot := b.find(b"\xff", spot)) >= 0 and spot + 1 < len(b):
                 if b[spot + 1] == 0xD9:
                     return spot + 2 - at
@@ -98,11 +114,12 @@ def _jpeg(b: bytes, at: int) -> int | None:
                     break
                 spot += 2
             else:
+                vain["jpeg"] = begin
                 return None
     return None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, vain: dict) -> int | None:
     unpack = zlib.decompressobj(31)
     try:
         spot = at
@@ -137,9 +154,9 @@ def automaton():
 def segments(blob: bytes, auto) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the confirmed media in ``blob``, from the left and without overlap."""
     places = sorted((end + 1 - n, kind, check) for end, (n, kind, check) in auto.iter(blob.decode("latin-1")))
-    out, free = [], 0
+    out, free, vain = [], 0, {}
     for at, kind, check in places:
-        if at >= free and (n := check(blob, at)):
+        if at >= free and (n := check(blob, at, vain)):
             out.append((kind, at, n))
             free = at + n
     return out
@@ -156,7 +173,7 @@ def sniff(blobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()
-        for batch in batches:
+        for batch in slices(batches, "blob"):
             declared = batch.column(len(carry)).to_pylist()
             found = [segments(b.as_py() or b"", auto) for b in batch.column(len(carry) + 1)]
             sizes = [len(b.as_py() or b"") for b in batch.column(len(carry) + 1)]
@@ -214,16 +231,26 @@ def read_back(blob: bytes, kind: str) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, w + 1)[:, 1:].tobytes()
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """A row of digests for each text of ``docs`` (doc_id, text), stored as media, sniffed, and read back.
+def carve(blobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(*carry, declared, actual, type, at, length, medium: binary): a row for each confirmed medium in ``blobs``."""
+    found = sniff(blobs.select(*carry, "declared", "blob", F.struct("blob").alias("whole")), (*carry, "whole"))
+    rows = found.select(*carry, "declared", "actual", "whole", F.explode("media").alias("m"))
+    cut = F.expr("substring(whole.blob, cast(m.at + 1 as int), cast(m.length as int))")
+    return rows.select(*carry, "declared", "actual", "m.type", "m.at", "m.length", cut.alias("medium"))
 
-    The format follows from the payload's checksum and is declared as ``bin``: what is read back is what
-    sniffing finds. No text or blob leaves the task.
-    """
-    import hashlib
 
-    from .textblocks import buffers, slices
+def wrapped(medium: bytes) -> bytes:
+    """``medium`` amid bytes of another file, with magic bytes that announce nothing before and after it."""
+    return b"PART\x00\x01RIFF----BM\x00GIF89a\x00" + medium + b"\x00BMRIFF\x89PNG\r\n\x1a\n" + medium[:20]
+
 
+def media_digests(docs: DataFrame) -> DataFrame:
+    """A row of digests for each text of ``docs`` (doc_id, text), stored as media, sniffed, carved and read back.
+
+    The format follows from the payload's checksum. Half of the media stand alone, under a declared type that is
+    wrong and gets corrected; the others are embedded in a larger blob, from which they are carved. What
+    is read back is what sniffing finds. No text or blob leaves the task.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +261,21 @@ def media_digests(docs: DataFrame) -> DataFrame:
             for i in range(part.num_rows):
                 text = buf[off[i] : off[i + 1]].tobytes()
                 payload = payload_of(text)
-                blob = store(payload, ("wav", "bmp", "png")[zlib.crc32(payload) % 3])
+                sum32 = zlib.crc32(payload)
+                blob = store(payload, ("wav", "bmp", "png")[sum32 % 3])
+                declared = "bin"
+                if sum32 // 3 % 2:
+                    blob = wrapped(blob)
+                else:
+                    declared = ("jpg", "wav", "gif")[sum32 % 3]
                 found = segments(blob, auto)
                 kind, at, n = found[0]
-                back = read_back(blob[at : at + n], kind)
+                actual = kind if (at, n) == (0, len(blob)) else declared
+                medium = blob[at : at + n]
+                back = read_back(medium, kind)
                 samples = np.frombuffer(back, np.uint8)
-                feature = f"declared=bin;actual={kind};at={at};length={n};segments={len(found)};sum={int(samples.sum(dtype=np.int64))};min={samples.min()};max={samples.max()};rows={len(back) // WIDTH}"
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
+                feature = f"declared={declared};actual={actual};medium={kind};at={at};length={n};of={len(blob)};segments={len(found)};sum={int(samples.sum(dtype=np.int64))};min={samples.min()};max={samples.max()};rows={len(back) // WIDTH}"
+                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), n, hashlib.sha256(medium).hexdigest(), feature))
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

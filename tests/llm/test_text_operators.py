@@ -345,7 +345,11 @@ def test_media_round_trip(spark):
         payload = raw + b" " * ((-len(raw)) % 192 if raw else 192)
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert "segments=1" in r.feature and r.media_bytes > 0
+        kind = ("wav", "bmp", "png")[zlib.crc32(payload) % 3]
+        stored = media.store(payload, kind)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert "segments=1" in r.feature and f"medium={kind};" in r.feature and (f"actual={kind};" in r.feature) == (";at=0;" in r.feature)
+    assert {";at=0;" in r.feature for r in rows.values()} == {True, False}  # some are carved
     a, b = rows[8].asDict(), rows[9].asDict()
     assert {k: v for k, v in a.items() if k != "doc_id"} == {k: v for k, v in b.items() if k != "doc_id"}
 
@@ -380,6 +384,19 @@ def test_declared_types_are_corrected(spark):
     assert got == {1: ("jpg", "png", [("png", 0, len(blob))]), 2: ("jpg", "jpg", [("png", 2, len(blob))]), 3: ("bin", "bin", []), 4: (None, None, [])}
 
 
+def test_carving_gives_the_media(spark):
+    a, b = (media.store(media.payload_of(t), k) for t, k in ((b"abc" * 99, "png"), (b"RIFF BM", "wav")))
+    df = spark.createDataFrame([(1, bytearray(b"zz" + a + b"-" + b + a[:9]), "zip"), (2, None, "bin"), (3, bytearray(b), "png")], "id long, blob binary, declared string").withColumn("media", F.lit(1))
+    got = sorted((r.id, r.actual, r.type, r["at"], bytes(r.medium)) for r in media.carve(df, ("id",)).collect())
+    assert got == [(1, "zip", "png", 2, a), (1, "zip", "wav", 3 + len(a), b), (3, "wav", "wav", 0, b)]
+
+
+def test_false_magic_bytes_take_linear_time():
+    auto = media.automaton()
+    for magic in (b"GIF89a1234567!aaaaaaa", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd1234", b"RIFFaaaaWAVE", b"BM" + b"a" * 60, b"\x89PNG\r\n\x1a\naaaa", b"\x1f\x8b\x08zzzzzzzz"):
+        assert media.segments(magic * 100_000, auto) == []
+
+
 # ---------------------------------------------------------------- language
 
 
