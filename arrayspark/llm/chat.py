@@ -7,8 +7,9 @@ included. Only DataFrame functions are used.
 Defined results: the participants are the speakers other than ``system``, null being named ``unknown``;
 null texts are empty turns; rows that repeat in all their columns are one turn; turns that tie are
 ordered by speaker, then text, and null turns come first; null is a conversation of its own; marks
-inside a text are broken up, so a text can't forge a turn; a conversation without participants
-gives no rows, nor does an empty table; further columns are ignored.
+inside a text are broken up, so a text can't forge a turn; turns without a number are a part of their
+own, whose number is null; a very long text is one row's; a conversation without participants gives no
+rows, nor does an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def rotate(turns: DataFrame, part_turns: int = 64) -> DataFrame:
     lengths in code points, 1 where the assistant speaks.
     """
     speaker = F.coalesce(F.translate(F.col("role"), "|\n", "/ "), F.lit("unknown"))
-    said = turns.select("conv_id", F.coalesce(F.expr(f"turn div {part_turns}"), F.lit(-1)).alias("part"), F.struct("turn", speaker.alias("speaker"), _safe(F.coalesce("text", F.lit(""))).alias("content")).alias("t"))
+    said = turns.select("conv_id", F.expr(f"(turn - pmod(turn, {part_turns})) div {part_turns}").alias("part"), F.struct("turn", speaker.alias("speaker"), _safe(F.coalesce("text", F.lit(""))).alias("content")).alias("t"))
     parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     names = turns.select(F.col("conv_id").alias("_c"), speaker.alias("perspective")).where("perspective <> 'system'").distinct()
     both = parts.join(names, F.col("conv_id").eqNullSafe(F.col("_c")))
@@ -52,7 +53,7 @@ def rotate(turns: DataFrame, part_turns: int = 64) -> DataFrame:
 
 SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(turn // 64, -1) AS part,
+  SELECT DISTINCT conv_id, turn, (turn - (turn % 64 + 64) % 64) // 64 AS part,
     coalesce(replace(replace(role, '|', '/'), chr(10), ' '), 'unknown') AS speaker,
     replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM conversations

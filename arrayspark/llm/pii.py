@@ -11,11 +11,14 @@ discrete values they can take, with counts over all documents.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; ties in
 start are ordered by kind as in ``KINDS``; repeated rows have equal spans; an empty table gives an empty
-result; without candidates nothing is added; further columns are kept by ``redact`` and ignored otherwise.
+result; without candidates nothing is added; a very long text is one task's, in time proportional to it;
+further columns are kept by ``redact`` and ignored otherwise.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -87,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
 _WIDE = (
     ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[A-Za-z0-9_+/=-]{16,}")),
     ("number", re.compile(r"(?<![A-Za-z0-9.+-])\(?[0-9](?:[ .()-]{0,2}[0-9]){8,}(?![A-Za-z0-9])")),
-    ("handle", re.compile(r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,64}(?!\S)")),
+    ("handle", re.compile(r"(?<!\S)[^\s@]+@[^\s@]+(?!\S)")),
 )
 _KEYWORD = re.compile(r"([^\W\d_]+)\W{0,4}$")
 #: Words that announce personal data.
@@ -106,16 +109,16 @@ def _entropy(s: str) -> float:
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, tuple[int, ...], tuple[int, ...]]]:
     """(span, votes, features) of the wide patterns' matches that touch no fixed span. Votes: 1, -1 or 0 (abstains)."""
-    taken = [(s, e) for _, s, e in base]
+    starts = [s for _, s, _ in base]
+    ends = list(itertools.accumulate((e for _, _, e in base), max, initial=-1000))
+    # whether a fixed span reaches into [lo, hi): of those that start before hi, one ends after lo
+    touched = lambda lo, hi: ends[bisect.bisect_left(starts, hi)] > lo
     for kind, pattern in _WIDE:
         if kind == "handle" and "@" not in text:
             continue
-        k = 0
         for m in pattern.finditer(text):
             start, end = m.span()
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            if any(s < end and e > start for s, e in taken[k : k + 4]):
+            if touched(start, end):
                 continue
             got, before, after = m[0], text[max(0, start - 24) : start], text[end : end + 1]
             digits = sum("0" <= c <= "9" for c in got)
@@ -123,7 +126,7 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, tuple[int, .
             named = bool(said) and said[1].lower() in GAZETTEER[kind]
             quoted = before[-1:] in "\"'" and before != "" and after == before[-1:]
             entropy = _entropy(got)
-            near = any(s < end + 200 and e > start - 200 for s, e in taken)
+            near = touched(start - 200, end + 200)
             if kind == "secret":
                 grammar = 1 if re.fullmatch(r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Z0-9]{20,}|[A-Za-z0-9+/]{32,}={0,2})", got) else 0
                 shape = 1 if digits >= 4 and len(got) >= 24 else -1

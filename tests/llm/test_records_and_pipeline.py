@@ -26,7 +26,7 @@ def duck(sql, **tables):
 
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob|x\n", "é ñ"), (1, 3, "ann", None), (1, 3, "ann", "tie"), (1, 3, "ann", "tie"),
-    (1, 64, "bob|x\n", "later"), (1, None, None, "no turn"), (2, 0, "system", "alone"), (3, 0, "user", ""), (None, 5, "user", "null conversation"), (None, 6, "assistant", "x" * 5000),
+    (1, 64, "bob|x\n", "later"), (1, -1, "ann", "before"), (1, -64, "ann", "long before"), (1, -65, None, "longer"), (1, None, None, "no turn"), (2, 0, "system", "alone"), (3, 0, "user", ""), (None, 5, "user", "null conversation"), (None, 6, "assistant", "x" * 5000),
 ]
 
 

@@ -305,6 +305,23 @@ def test_base_spans(text):
     assert pii.base_spans(text) == brute_spans(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token =", "a.b@c.de", "0123456789abcdef01234567", "10.1.2.3", "+1 202 555 0100", "202-555-0100", "@me", "x@y", "é", '"', "9" * 20, " " * 150, "Ab3" * 9]), max_size=9), st.sampled_from([" ", "", "\n"]))
+def test_candidates_equal_brute_force(parts, gap):
+    text = gap.join(parts)
+    base = brute_spans(text)
+    reach = lambda a, b: any(s < b and e > a for _, s, e in base)
+    want = [(kind, *m.span()) for kind, p in pii._WIDE for m in p.finditer(text) if not reach(*m.span())]
+    got = list(pii.candidates(text, base))
+    assert [s for s, _, _ in got] == want
+    assert [f[6] for _, _, f in got] == [int(reach(s - 200, e + 200)) for _, s, e in want]
+
+
+def test_candidates_take_linear_time():
+    text = "1.2.3.4 5.6.7.8 x@y " * 30_000
+    assert len(list(pii.candidates(text, pii.base_spans(text)))) == 30_000
+
+
 def test_base_spans_take_linear_time():
     for long in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" * 150_000, "@" * 300_000, "+1(" + "(" * 300_000):
         pii.base_spans(long)
