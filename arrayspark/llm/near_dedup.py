@@ -181,7 +181,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, size: int, rows: int, pi
 
     # one row of each class brings its bands
     reps = signed.join(members.where("row = rep").select("row"), "row", "left_semi")
-    banded = reps.select(F.col("row").alias("id"), "n", F.explode("bands").alias("bucket"))
+    banded = reps.select(F.col("row").alias("id"), F.col("doc_id").alias("o"), "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
     met = stored(members.join(buckets.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("id"), "t", "k1", "k2"), "met")
@@ -208,11 +208,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     of 4, two sets at 0.8 meet in some band but for a chance of 5e-8.
 
     Sets that are equal become one class first, so copies cost one row each. In a bucket each class is
-    compared with one centre, the least one, not with all others. Passes follow over the buckets that
-    still hold several components: their classes are compared with ``pivots`` further centres each,
-    drawn anew in each pass, until a pass finds no link. So a pass costs rows in proportion to a
-    bucket, whatever its size. Centres alone can miss links, so what they leave apart is joined exactly
-    on the rarest shingles of each set (``_rest``): no two sets that share a bucket stay unlinked.
+    compared with one centre, that of the least id, not with all others. In buckets that then still hold
+    several components, all but the largest component are compared with ``pivots`` further classes
+    drawn by hash. So a pass costs rows in proportion to a bucket, whatever its size. Centres alone can
+    miss links, so what they leave apart is joined exactly on the rarest shingles of each set
+    (``_rest``): no two sets that share a bucket stay unlinked.
     """
     # the key of a row is settled when the table of signatures is written
     found = _grouped(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), words, percent, size, rows, pivots)
@@ -227,7 +227,7 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, size: int =
     key = free_name(docs, "_row")
     numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = _grouped(numbered.select(F.col(key).alias("row"), "doc_id", "text"), words, percent, size, rows, pivots)
-    gone = stored(found.where("not first").select(F.col("row").alias(key)), "gone")
+    gone = found.where("not first").select(F.col("row").alias(key))
     return numbered.join(gone, key, "left_anti").select(*docs.columns)
 
 
@@ -269,39 +269,41 @@ def _rest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def _apart(buckets: DataFrame, root: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(members, heads) of the buckets that hold several components: members with their component ``part``; of each
+    bucket the component ``main`` with most members, and ``pivots`` members drawn by hash."""
+    state = buckets.join(root.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("part"))
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "n", "part")).alias(f"p{k}") for k in range(pivots)]
+    parts = state.groupBy("bucket", "part").agg(F.count("*").alias("c"), *drawn)
+    heads = parts.groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts"), *[F.min(f"p{k}").alias(f"p{k}") for k in range(pivots)])
+    heads = heads.where("parts > 1").select("bucket", "main", F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)])).alias("drawn"))
+    return state, heads
+
+
 def _link(buckets: DataFrame, sets: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """(node, root) over the classes in ``buckets`` (id, n, bucket): passes of comparisons with centres, then all that is left."""
+    """(node, root) over the classes in ``buckets`` (id, o, n, bucket): two passes of comparisons with centres, then all that is left."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return stored(map_batches(texts.select("a", "b", "x", "y"), _verifier(percent), "a long, b long"), "verified")
 
-    root = links = tested = None
-    step = 0
-    while True:
-        if root is None:
-            state = buckets.withColumn("part", F.col("id"))
-            centre = state.groupBy("bucket").agg(F.min(F.struct("id", "n", "part")).alias("c"))
-        else:
-            state = buckets.join(root.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("part"))
-            apart = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-            state = state.join(apart, "bucket")
-            order = [F.xxhash64("id", F.lit(step * pivots + k)) for k in range(pivots)]
-            centre = state.groupBy("bucket").agg(F.array(*[F.min_by(F.struct("id", "n", "part"), o) for o in order]).alias("c")).select("bucket", F.explode(F.array_distinct("c")).alias("c"))
-        fits = f"part <> c.part and id <> c.id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
-        pairs = state.join(centre, "bucket").where(fits).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = verified(pairs)
-        if root is not None and new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
+    fits = f"id <> c.id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
+    paired = lambda df: df.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    centre = buckets.groupBy("bucket").agg(F.min(F.struct("o", "id", "n")).alias("c"))
+    tested = stored(paired(buckets.join(centre, "bucket").where(fits)), "pairs")
+    links = verified(tested)
+    root = stored(components(links), "roots")
+
+    # all but the largest component of a bucket meet its pivots
+    state, heads = _apart(buckets, root, pivots)
+    met = state.join(heads.select("bucket", "main", F.explode("drawn").alias("c")), "bucket").where("part <> main and part <> c.part").where(fits)
+    pairs = stored(paired(met).join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = verified(pairs)
+    if not new.isEmpty():
+        tested, links = tested.union(pairs), links.union(new)
         root = stored(components(links), "roots")
-        step += 1
-    # the last pass found nothing, so its buckets are those that are apart still
-    rest = stored(state.select("id", "part").distinct(), "rest")
+        state, heads = _apart(buckets, root, pivots)
+    rest = stored(state.join(heads.select("bucket"), "bucket").select("id", "part").distinct(), "rest")
     if rest.isEmpty():
         return root
     new = verified(stored(_rest(rest, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs"))
