@@ -72,42 +72,72 @@ def set_slice_buffer(a: NDArray, start: Sequence[int], stop: Sequence[int], buff
     return set_slice(a, start, stop, from_buffer(a.spark, buffer, a.dtype, [y - x for x, y in zip(lo, hi, strict=True)]))
 
 
-def _lists(a: NDArray, selection: Sequence[Sequence[int]]) -> list[DataFrame]:
+#: Index lists of so many entries at most go to every task (16 bytes each); longer ones are joined by exchange.
+BROADCAST_INDICES = 1_000_000
+#: Lists of so many different entries are filters of the scan themselves, longer ones by their bounds.
+LISTED = 1000
+
+
+def _indices(a: NDArray, selection: Sequence[Sequence[int]]) -> list[list[int]]:
     if len(selection) != a.ndim:
         raise ArrayError("a list of indices for each axis is needed")
-    out = []
-    for k, s in enumerate(selection):
-        at = [int(x) + a.shape[k] if x < 0 else int(x) for x in s]
+    out = [[int(x) + n if x < 0 else int(x) for x in s] for s, n in zip(selection, a.shape, strict=True)]
+    for k, at in enumerate(out):
         if any(not 0 <= x < a.shape[k] for x in at):
             raise ArrayError(f"an index beyond axis {k}")
-        out.append(a.spark.createDataFrame([(x, p) for p, x in enumerate(at)], f"i{k} long, p{k} long"))
     return out
 
 
+def _lists(a: NDArray, indices: Sequence[Sequence[int]]) -> list[DataFrame]:
+    tables = [a.spark.createDataFrame([(x, p) for p, x in enumerate(at)], f"i{k} long, p{k} long") for k, at in enumerate(indices)]
+    return [F.broadcast(t) if len(at) <= BROADCAST_INDICES else t for t, at in zip(tables, indices, strict=True)]
+
+
+def _within(indices: Sequence[Sequence[int]]) -> Column:
+    """What the scan can tell of a selection."""
+    known = []
+    for k, at in enumerate(indices):
+        i, values = F.col(f"i{k}"), sorted(set(at))
+        known.append(i.isin(values) if len(values) <= LISTED else (i >= values[0]) & (i <= values[-1]))
+    return _all(known)
+
+
 def get_orthogonal(a: NDArray, selection: Sequence[Sequence[int]]) -> NDArray:
-    """result[k0, k1, ...] = a[selection[0][k0], selection[1][k1], ...]; an index may repeat."""
+    """result[k0, k1, ...] = a[selection[0][k0], selection[1][k1], ...]; an index may repeat.
+
+    The array is filtered by the lists and stays where it is; the lists go to it.
+    """
     if a.is_view:
         raise ArrayError("index lists don't work on views")
-    df = a.df
-    for k, table in enumerate(_lists(a, selection)):
+    indices = _indices(a, selection)
+    df = a.df.where(_within(indices))
+    for k, table in enumerate(_lists(a, indices)):
         df = df.join(table, f"i{k}")
     cells = df.select(*[F.col(f"p{k}").alias(f"i{k}") for k in range(a.ndim)], "v")
     return NDArray.cells(cells, a.meta.but(shape=[len(s) for s in selection], urlpath=None))
 
 
 def set_orthogonal(a: NDArray, selection: Sequence[Sequence[int]], values: np.ndarray | NDArray) -> NDArray:
-    """``a`` with the cells of the selection replaced; of repeated indices the last one counts."""
+    """``a`` with the cells of the selection replaced; of repeated indices the last one counts.
+
+    What lies outside the selection passes and the selection comes from ``values``: a union, without a join of cells.
+    """
     _writable(a)
     new = values if isinstance(values, NDArray) else NDArray.from_numpy(a.spark, np.asarray(values, a.dtype.numpy).reshape([len(s) for s in selection]))
     if new.shape != tuple(len(s) for s in selection) or new.dtype != a.dtype:
         raise ArrayError("type or shape of the selection and of what fills it differ")
-    df = new.df.select(*[F.col(f"i{k}").alias(f"p{k}") for k in range(a.ndim)], F.col("v").alias("n"))
-    for k, table in enumerate(_lists(a, selection)):
-        last = table.groupBy(f"i{k}").agg(F.max(f"p{k}").alias(f"p{k}"))
-        df = df.join(last, f"p{k}")
+    indices = _indices(a, selection)
+    last = [list({x: p for p, x in enumerate(at)}.items()) for at in indices]
+    tables = [a.spark.createDataFrame(rows, f"i{k} long, p{k} long") for k, rows in enumerate(last)]
+    tables = [F.broadcast(t) if len(rows) <= BROADCAST_INDICES else t for t, rows in zip(tables, last, strict=True)]
     keys = [f"i{k}" for k in range(a.ndim)]
-    both = a.df.join(df.select(*keys, "n"), keys, "left")
-    return NDArray.cells(both.select(*keys, F.coalesce("n", "v").alias("v")), a.meta.but(urlpath=None))
+    fill = new.df.select(*[F.col(f"i{k}").alias(f"p{k}") for k in range(a.ndim)], "v")
+    out = a.df
+    for k, table in enumerate(tables):
+        fill = fill.join(table, f"p{k}")
+        out = out.join(table, f"i{k}", "left")
+    outside = out.where(fold(lambda x, y: x | y, [F.col(f"p{k}").isNull() for k in range(a.ndim)], F.lit(False)))
+    return NDArray.cells(outside.select(*keys, "v").unionByName(fill.select(*keys, "v")), a.meta.but(urlpath=None))
 
 
 #: The casts that a type view may make.

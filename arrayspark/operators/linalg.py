@@ -62,43 +62,87 @@ def _tile(n: int, want: int) -> int:
     return max(1, min(n, want))
 
 
-def _chunked(a: NDArray, b: NDArray, tile: int) -> NDArray:
-    """Tiles of both sides meet by inner tile, numpy multiplies them, and a grouped sum adds the partial tiles."""
+#: A task multiplies the tiles of so many rows and columns of tiles that have the inner tile in common.
+SPAN = 4
+#: So many partial tiles are added up in one group.
+FOLD = 32
+
+
+def _product(x: np.ndarray, y: np.ndarray, sparse: bool) -> np.ndarray:
+    if not sparse or (np.isfinite(x).all() and np.isfinite(y).all()):
+        return x @ y
+    out = np.zeros((x.shape[0], y.shape[1]))
+    for k in range(x.shape[1]):  # zeros drop out, even against NaN
+        out += np.where((x[:, k, None] != 0) & (y[k] != 0), x[:, k, None] * y[k], 0.0)
+    return out
+
+
+def _chunked(a: NDArray, b: NDArray, tile: int, sparse: bool = False, whole: str = "") -> NDArray:
+    """Tiles of both sides meet by inner tile and by span of output tiles, numpy multiplies them, and grouped sums of whole
+    tiles add what an output tile gets; cells are made last.
+
+    A span is what bounds copies and parallelism: a side is copied once for each span of the other, and
+    each (inner tile, span, span) is a key of its own, so a tall or a flat product has many. ``sparse`` drops
+    tiles of zeros alone.
+    """
     matrix = b.ndim == 2
     m, k, n = a.shape[0], a.shape[1], b.shape[1] if matrix else 1
     tm, tk, tn = _tile(m, tile), _tile(k, tile), _tile(n, tile)
+    rows, inner, columns = -(-m // tm), -(-k // tk), -(-n // tn)
     left = to_chunks(a, (tm, tk)).select("c0", F.col("c1").alias("k"), F.col("shape").alias("s"), F.col("values").alias("x"))
     bb = b if matrix else NDArray(b.origin, (*b.coords, F.lit(0).cast("bigint")), b.value, ArrayMeta(b.dtype, (k, 1)))
     right = to_chunks(bb, (tk, tn)).select(F.col("c0").alias("k"), F.col("c1"), F.col("shape").alias("t"), F.col("values").alias("y"))
+    if sparse:
+        left, right = left.where(F.exists("x", lambda v: v != 0)), right.where(F.exists("y", lambda v: v != 0))
+    spans = lambda count: F.explode(F.sequence(F.lit(0), F.lit((count - 1) // SPAN)))
+    if whole == "a" and fits_broadcast(a):
+        joined = F.broadcast(left).join(right, "k")
+    elif whole == "b" and fits_broadcast(b):
+        joined = left.join(F.broadcast(right), "k")
+    else:
+        left = left.select("*", F.expr(f"cast(c0 div {SPAN} as int)").alias("r"), spans(columns).alias("q"))
+        right = right.select("*", F.expr(f"cast(c1 div {SPAN} as int)").alias("q"), spans(rows).alias("r"))
+        joined = left.join(right, ["k", "r", "q"])
     kind = a.dtype.numpy
+    schema = "c0 long, c1 long, f long, shape array<int>, values array<double>"
+    names = ["c0", "c1", "f", "shape", "values"]
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):  # a tile at a time: three tiles are held
-                p = np.asarray(r.x, kind).reshape(r.s).astype("float64") @ np.asarray(r.y, kind).reshape(r.t).astype("float64")
-                yield pd.DataFrame({"c0": [r.c0], "c1": [r.c1], "shape": [list(p.shape)], "values": [p.ravel()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # partial sums of what a task has read: rows of one tile shrink to one before the shuffle
-        held: dict[tuple[int, int], tuple[list, np.ndarray]] = {}
+        # partial sums of what a task has read: a few tiles are held
+        held: dict[tuple[int, int, int], np.ndarray] = {}
+        made = lambda: pd.DataFrame([(*key, list(v.shape), v.ravel()) for key, v in held.items()], columns=names)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                key = (r.c0, r.c1)
-                held[key] = (r.shape, held[key][1] + r.values) if key in held else (r.shape, np.array(r.values))
-                if len(held) >= 64:
-                    yield _rows(held)
-                    held = {}
+                x, y = np.asarray(r.x, kind).reshape(r.s).astype("float64"), np.asarray(r.y, kind).reshape(r.t).astype("float64")
+                key, p = (r.c0, r.c1, r.f), _product(x, y, sparse)
+                held[key] = held[key] + p if key in held else p
+                if len(held) >= 32:
+                    yield made()
+                    held.clear()
         if held:
-            yield _rows(held)
-
-    def _rows(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(c0, c1, list(s), v) for (c0, c1), (s, v) in held.items()], columns=["c0", "c1", "shape", "values"])
-
-    schema = "c0 long, c1 long, shape array<int>, values array<double>"
-    parts = left.join(right, "k").select("c0", "c1", "s", "t", "x", "y").mapInPandas(multiply, schema).mapInPandas(add, schema)
-    cells = parts.select("c0", "c1", "shape", F.posexplode("values").alias("p", "v")).groupBy("c0", "c1", "shape", "p").agg(F.sum("v").alias("v"))
-    width = F.element_at("shape", 2)
-    i0, i1 = F.col("c0") * F.lit(tm) + F.floor(F.col("p") / width), F.col("c1") * F.lit(tn) + F.col("p") % width
+            yield made()
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        c0, c1, f = (int(pdf[c].iloc[0]) for c in ("c0", "c1", "f"))
+        own = [min(tm, m - c0 * tm), min(tn, n - c1 * tn)]
+        out = np.zeros(own[0] * own[1])
+        for v in pdf["values"]:
+            if v is not None:
+                out += v
+        return pd.DataFrame([(c0, c1, f, own, out)], columns=names)
+
+    parts = joined.select("c0", "c1", F.expr(f"k div {FOLD}").alias("f"), "s", "t", "x", "y").mapInPandas(multiply, schema)
+    if sparse or not inner:  # an output tile without products is zeros
+        grid = a.spark.range(rows * columns).select(F.expr(f"id div {max(1, columns)}").alias("c0"), F.expr(f"id % {max(1, columns)}").alias("c1"), F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<int>").alias("shape"), F.lit(None).cast("array<double>").alias("values"))
+        parts = parts.unionByName(grid)
+    folds = -(-inner // FOLD)
+    while True:
+        parts = parts.groupBy("c0", "c1", "f").applyInPandas(total, schema)
+        if folds <= 1:
+            break
+        parts, folds = parts.withColumn("f", F.expr(f"f div {FOLD}")), -(-folds // FOLD)
+    cells = parts.select("c0", "c1", F.element_at("shape", 2).alias("w"), F.posexplode("values").alias("p", "v"))
+    i0, i1 = F.col("c0") * F.lit(tm) + F.expr("p div w"), F.col("c1") * F.lit(tn) + F.col("p") % F.col("w")
     out = cells.select(i0.alias("i0"), *([i1.alias("i1")] if matrix else []), F.col("v").cast(a.dtype.spark).alias("v"))
     return NDArray.cells(out, ArrayMeta(a.dtype, (m, n) if matrix else (m,)))
 
@@ -106,14 +150,14 @@ def _chunked(a: NDArray, b: NDArray, tile: int) -> NDArray:
 def matmul(a: NDArray, b: NDArray, sparse: bool = False, whole: str = "", tile: int = 512) -> NDArray:
     """The product of a matrix and a matrix or vector.
 
-    ``sparse`` drops zero cells first (0 * NaN then counts as 0). ``whole`` names a side ("a" or "b") to
-    send to every task, where its size allows that. Large products go by tiles.
+    ``sparse`` drops zero cells, or tiles of zeros, first (0 * NaN then counts as 0). ``whole`` names a side
+    ("a" or "b") to send to every task, where its size allows that. Size alone decides: large products go by tiles.
     """
     _check(a, b)
     n = b.shape[1] if b.ndim == 2 else 1
-    if sparse or whole or a.size * n <= CELL_PRODUCTS or (b.ndim == 1 and fits_broadcast(b)):
+    if a.size * n <= CELL_PRODUCTS or (b.ndim == 1 and fits_broadcast(b)):
         return _cells(a, b, sparse, whole or ("b" if b.ndim == 1 else ""))
-    return _chunked(a, b, tile)
+    return _chunked(a, b, tile, sparse, whole)
 
 
 def gemm(a: NDArray, b: NDArray, sparse: bool = True) -> NDArray:

@@ -65,20 +65,33 @@ def save(a: NDArray, path: str, compression: str = "zstd", contiguous: bool = Fa
     if a.is_view:
         raise ArrayError("a view can't be saved: copy it first")
     spark = a.spark
-    if exists(spark, path):
-        if not overwrite:
-            raise ArrayError(f"{path} is taken")
-        remove(spark, path)
+    if exists(spark, path) and not overwrite:
+        raise ArrayError(f"{path} is taken")
     meta = a.meta.but(chunkshape=a.meta.chunks, urlpath=path)
     keys = [f"c{k}" for k in range(a.ndim)]
     chunks = to_chunks(a, meta.chunks)
     n = 1 if contiguous or not keys else partitions(meta.nbytes)
     chunks = chunks.coalesce(1) if n == 1 else chunks.repartitionByRange(n, *keys)
-    (chunks.sortWithinPartitions(*keys) if keys else chunks).write.option("compression", compression).parquet(f"{path}/chunks")
-    write_meta(spark, meta, path)
+    # written beside and then renamed, metadata last: the array may be read from the very path it replaces
+    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
+    (chunks.sortWithinPartitions(*keys) if keys else chunks).write.option("compression", compression).parquet(f"{new}/chunks")
+    write_meta(spark, meta, new)
+    taken = exists(spark, path)
+    if taken:
+        _rename(spark, path, old)
+    _rename(spark, new, path)
+    if taken:
+        remove(spark, old)
+    spark.catalog.refreshByPath(path)
     return open_array(spark, path)
 
 
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _fs(spark, source)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
+        raise ArrayError(f"{source} can't be moved to {target}")
+
+
 def write_meta(spark: SparkSession, meta: ArrayMeta, path: str) -> None:
     fs, p = _fs(spark, f"{path}/meta.json")
     out = fs.create(p, True)

@@ -342,3 +342,41 @@ def test_positions_are_dense(spark):
     assert a.df.select(F.countDistinct("i0", "i1", "i2")).first()[0] == 60
     assert (a.to_numpy().ravel() == np.arange(60)).all()
     assert ArrayMeta("f64", (3, 4, 5)).strides == (20, 5, 1)
+
+
+def test_large_products_go_by_tiles(spark):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(70, 150)), r.normal(size=(150, 90))
+    x[20:50, 30:60] = 0  # whole tiles of zeros
+    y[:, 40:60] = 0
+    x[:10] = 0
+    x[60, 3], y[3, 50] = np.nan, 0.0
+    a, b = (NDArray.from_numpy(spark, z) for z in (x, y))
+    want = np.where(np.isnan(x), 0, x) @ y
+    want[60] += np.where(y[3] != 0, np.nan, 0)
+    for whole in ("", "a", "b"):
+        np.testing.assert_allclose(linalg._chunked(a, b, 10, True, whole).to_numpy(), want, atol=1e-9)
+    many = linalg.FOLD
+    linalg.FOLD = 3
+    try:
+        np.testing.assert_allclose(linalg._chunked(a, b, 10).to_numpy(), x @ y, atol=1e-9)
+    finally:
+        linalg.FOLD = many
+    plan = linalg.gemm(create.zeros(spark, (4000, 3000)), create.zeros(spark, (3000, 3700))).df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan  # not cell by cell
+
+
+def test_index_lists_move_no_cells(spark, tmp_path):
+    x = np.arange(600.0).reshape(20, 30)
+    spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i in range(20) for j in range(30)], "i0 long, i1 long, v double").write.parquet(f"{tmp_path}/cells")
+    a = NDArray.cells(spark.read.parquet(f"{tmp_path}/cells"), ArrayMeta("f64", (20, 30)))
+    pick = ([3, 3, -1, 0], [29, 0, 7])
+    got, new = index.get_orthogonal(a, pick), index.set_orthogonal(a, pick, np.arange(12.0).reshape(4, 3))
+    np.testing.assert_array_equal(got.to_numpy(), x[np.ix_(*pick)])
+    want = x.copy()
+    want[np.ix_(*pick)] = np.arange(12.0).reshape(4, 3)
+    np.testing.assert_array_equal(new.to_numpy(), want)
+    for b in (got, new):
+        plan = b.df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert "PushedFilters: [In(i0" in got.df._jdf.queryExecution().executedPlan().toString()

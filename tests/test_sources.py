@@ -95,3 +95,23 @@ def test_windowed(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["mean"]) for r in spark.sql("SELECT n, mean FROM w ORDER BY start").collect()] == [(60, 29.5), (60, 89.5)]
+
+
+def test_an_array_may_replace_what_it_is_read_from(spark, tmp_path):
+    path = str(tmp_path / "own")
+    x = np.arange(24.0).reshape(4, 6)
+    storage.save(NDArray.from_numpy(spark, x), path)
+    for k in (1, 2):
+        storage.save(storage.open_array(spark, path) * 2.0, path, overwrite=True)
+        np.testing.assert_array_equal(storage.open_array(spark, path).to_numpy(), x * 2**k)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["own"]
+
+
+def test_a_box_of_an_external_array_fetches_its_chunks_alone(spark, tmp_path):
+    def handler(url, start, stop):
+        open(f"{url}/{start[0]}-{start[1]}", "w").close()
+        return np.add.outer(np.arange(start[0], stop[0]), 100.0 * np.arange(start[1], stop[1]))
+
+    a = proxy.open_proxy_box(spark, str(tmp_path), handler, "f64", (40, 50), (10, 20), (12, 5), (20, 39))
+    np.testing.assert_array_equal(a.to_numpy(), np.add.outer(np.arange(12, 20), 100.0 * np.arange(5, 39)))
+    assert {p.name for p in tmp_path.iterdir()} == {"10-0", "10-20"}
