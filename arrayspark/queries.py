@@ -333,28 +333,18 @@ _array("reduce_of_view", lambda s, d: reduce.reduce(index.get_slice(ev2(s, d), [
 _HEAD = f"(SELECT i0::BIGINT AS i0, i1::BIGINT AS i1, v::DOUBLE AS v FROM ({EMB}))"
 
 
-def _square(spark: SparkSession, d: str) -> NDArray:
-    """The first 64 embeddings, as doubles."""
-    return index.get_slice(index.type_view(emb(spark, d), "f64"), [0, 0], [64, 64])
-
-
-_MM = f"SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) + 0.0 AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i1 = b.i1 WHERE {{}} GROUP BY a.i0, b.i0"
-_array("linalg_matmul", lambda s, d: linalg.matmul(e := index.type_view(emb(s, d), "f64"), index.get_slice(e, [0, 0], [32, 64]).T), _MM.format("b.i0 < 32"), 5)
-_array("linalg_matmul_tiles", lambda s, d: linalg._chunked(e := index.type_view(emb(s, d), "f64"), index.get_slice(e, [0, 0], [32, 64]).T, 128), _MM.format("b.i0 < 32"), 5)
-_array("linalg_gemm", lambda s, d: linalg.gemm(e := _square(s, d), e.T), _MM.format("a.i0 < 64 AND b.i0 < 64"), 5)
-_array("linalg_gemm_a", lambda s, d: linalg.gemm_a(e := _square(s, d), e.T), _MM.format("a.i0 < 64 AND b.i0 < 64"), 5)
-_array("linalg_gemm_b", lambda s, d: linalg.gemm_b(e := _square(s, d), e.T), _MM.format("a.i0 < 64 AND b.i0 < 64"), 5)
+# products over all rows: each embedding times the 64 x 64 gram of all of them
+_GRAM = f"(SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1)"
+_WHOLE = f"SELECT a.i0, b.i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM {_HEAD} a JOIN {_GRAM} b ON a.i1 = b.i0 GROUP BY a.i0, b.i1"
+for _f in ("matmul", "gemm", "gemm_a", "gemm_b"):
+    _array(f"linalg_{_f}", lambda s, d, f=_f: getattr(linalg, f)(e := index.type_view(emb(s, d), "f64"), linalg.gram(e)), _WHOLE, 4)
+for _f, _side, _zeros in (("matmul_tiles", "", False), ("gemm_tiles", "", True), ("gemm_b_tiles", "b", True)):
+    _array(f"linalg_{_f}", lambda s, d, w=_side, z=_zeros: linalg._chunked(e := index.type_view(emb(s, d), "f64"), linalg.gram(e), 32, z, w), _WHOLE, 4)
 _array("linalg_gemv", lambda s, d: linalg.gemv(e := index.type_view(emb(s, d), "f64"), e[0, :]), f"SELECT a.i0, round(sum(a.v * b.v), 5) + 0.0 AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i1 = b.i1 WHERE b.i0 = 0 GROUP BY a.i0", 5)
 _array("linalg_gram", lambda s, d: linalg.gram(index.type_view(emb(s, d), "f64")), f"SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1", 4)
 _array("linalg_transpose", lambda s, d: emb(s, d).T, f"SELECT i1::BIGINT AS i0, i0::BIGINT AS i1, round(v::DOUBLE, 6) + 0.0 AS v FROM ({EMB})")
 _array("linalg_dot", lambda s, d: linalg.dot(a := ev(s, d), a), "SELECT round(sum(value * value), 2) AS v FROM events", 2)
 
-# the same over all rows: each embedding times the 64 x 64 gram of all of them
-_GRAM = f"(SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM {_HEAD} a JOIN {_HEAD} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1)"
-_WHOLE = f"SELECT a.i0, b.i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM {_HEAD} a JOIN {_GRAM} b ON a.i1 = b.i0 GROUP BY a.i0, b.i1"
-for _f in ("matmul", "gemm", "gemm_a", "gemm_b"):
-    _array(f"linalg_{_f}_all_rows", lambda s, d, f=_f: getattr(linalg, f)(e := index.type_view(emb(s, d), "f64"), linalg.gram(e)), _WHOLE, 4)
-
 
 @query("linalg_norms", f"SELECT round(sqrt(sum(v * v)), 4) AS fro, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM ({EV2}) GROUP BY i0)), 4) AS inf, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM ({EV2}) GROUP BY i1)), 4) AS one, round((SELECT sum(v) FROM ({EV2}) WHERE i0 = i1), 4) AS trace FROM ({EV2})")
 def _norms(spark: SparkSession, d: str) -> DataFrame:
