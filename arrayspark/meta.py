@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from math import prod
 
 import numpy as np
@@ -12,7 +12,14 @@ MAX_DIM = 8
 
 
 class ArrayError(ValueError):
-    """An argument that no array operation accepts."""
+    """An argument that no array operation accepts; ``code`` is a key of ``errors.MESSAGES``."""
+
+    def __init__(self, message: str, code: str = "INVALID_ARGUMENT"):
+        super().__init__(message)
+        self.code = code
+
+    def __reduce__(self):
+        return type(self), (str(self), self.code)
 
 
 @dataclass(frozen=True)
@@ -48,14 +55,35 @@ def dtype(name: str | DType) -> DType:
     try:
         return name if isinstance(name, DType) else DTYPES[name]
     except KeyError:
-        raise ArrayError(f"no such element type: {name}") from None
+        raise ArrayError(f"no such element type: {name}", "INVALID_DTYPE") from None
 
 
 def of_numpy(kind: np.dtype) -> DType:
     for d in DTYPES.values():
         if d.numpy == np.dtype(kind).name:
             return d
-    raise ArrayError(f"no element type for {kind}")
+    raise ArrayError(f"no element type for {kind}", "INVALID_DTYPE")
+
+
+@dataclass(frozen=True)
+class Config:
+    """How an array is written: Parquet codec and its level (0: uncompressed; other levels are zstd's), mantissa bits
+    that floats keep (0: all), and how many tasks write at once at most (0: as many as the array's bytes ask for)."""
+
+    codec: str = "zstd"
+    level: int = 3
+    mantissa_bits: int = 0
+    max_tasks: int = 0
+
+    def __post_init__(self) -> None:
+        if self.codec not in ("zstd", "lz4_raw", "snappy", "gzip", "uncompressed") or not 0 <= self.level <= 22 or self.mantissa_bits < 0 or self.max_tasks < 0:
+            raise ArrayError(f"no such configuration: {self}", "INVALID_STORAGE")
+
+    def options(self) -> dict[str, str]:
+        """Options of the Parquet writer."""
+        if not self.level or self.codec == "uncompressed":
+            return {"compression": "uncompressed"}
+        return {"compression": self.codec} | ({"parquet.compression.codec.zstd.level": str(self.level)} if self.codec == "zstd" else {})
 
 
 @dataclass(frozen=True)
@@ -67,19 +95,20 @@ class ArrayMeta:
     view: bool = False
     urlpath: str | None = None
     attrs: dict[str, bytes] = field(default_factory=dict, compare=False)
+    config: Config | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "dtype", dtype(self.dtype))
         object.__setattr__(self, "shape", tuple(int(n) for n in self.shape))
         if len(self.shape) > MAX_DIM:
-            raise ArrayError(f"at most {MAX_DIM} dimensions, not {len(self.shape)}")
+            raise ArrayError(f"at most {MAX_DIM} dimensions, not {len(self.shape)}", "INVALID_NDIM")
         if any(n < 0 for n in self.shape):
-            raise ArrayError(f"negative length in {self.shape}")
+            raise ArrayError(f"negative length in {self.shape}", "INVALID_SHAPE")
         for name in ("chunkshape", "blockshape"):
             if (s := getattr(self, name)) is not None:
                 object.__setattr__(self, name, tuple(int(n) for n in s))
                 if len(s) != len(self.shape) or any(n < 1 for n in s):
-                    raise ArrayError(f"{name} {s} doesn't fit {self.shape}")
+                    raise ArrayError(f"{name} {s} doesn't fit {self.shape}", "INVALID_CHUNKSHAPE" if name == "chunkshape" else "INVALID_BLOCKSHAPE")
 
     @property
     def ndim(self) -> int:
@@ -114,7 +143,7 @@ class ArrayMeta:
 
     def axis(self, k: int) -> int:
         if not -self.ndim <= k < self.ndim:
-            raise ArrayError(f"no axis {k} in {self.ndim} dimensions")
+            raise ArrayError(f"no axis {k} in {self.ndim} dimensions", "INVALID_AXIS")
         return k % self.ndim
 
     def same_shape(self, other: ArrayMeta) -> bool:
@@ -127,9 +156,9 @@ class ArrayMeta:
         return replace(self, **changes)
 
     def to_json(self) -> str:
-        return json.dumps({"dtype": self.dtype.name, "shape": self.shape, "chunkshape": self.chunkshape, "blockshape": self.blockshape, "attrs": {k: v.hex() for k, v in self.attrs.items()}})
+        return json.dumps({"dtype": self.dtype.name, "shape": self.shape, "chunkshape": self.chunkshape, "blockshape": self.blockshape, "attrs": {k: v.hex() for k, v in self.attrs.items()}, "config": self.config and asdict(self.config)})
 
     @classmethod
     def from_json(cls, text: str, urlpath: str | None = None) -> ArrayMeta:
         x = json.loads(text)
-        return cls(x["dtype"], tuple(x["shape"]), x["chunkshape"] and tuple(x["chunkshape"]), x["blockshape"] and tuple(x["blockshape"]), urlpath=urlpath, attrs={k: bytes.fromhex(v) for k, v in x["attrs"].items()})
+        return cls(x["dtype"], tuple(x["shape"]), x["chunkshape"] and tuple(x["chunkshape"]), x["blockshape"] and tuple(x["blockshape"]), urlpath=urlpath, attrs={k: bytes.fromhex(v) for k, v in x["attrs"].items()}, config=Config(**x["config"]) if x.get("config") else None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import cycle
 from math import prod
+from pathlib import Path
 
 from ..meta import ArrayError, DType, dtype
 
@@ -34,7 +35,7 @@ def advise(kind: str | DType, shape: tuple[int, ...], min_chunk: int = 0, max_ch
     size = dtype(kind).itemsize
     low, high = min_chunk or CHUNK_BYTES[0], max_chunk or CHUNK_BYTES[1]
     if high < size or (max_block and max_block < size):
-        raise ArrayError("a chunk and a block must hold a cell")
+        raise ArrayError("a chunk and a block must hold a cell", "INVALID_CHUNKSHAPE")
     chunk = _box(tuple(max(1, n) for n in shape), size, low, high)
     return chunk, _box(chunk, size, min_block or BLOCK_BYTES[0], min(max_block or BLOCK_BYTES[1], size * prod(chunk)))
 
@@ -48,3 +49,20 @@ def ncores(spark, most: int | None = None) -> int:
     """The tasks that run at once, ``most`` at most."""
     n = spark.sparkContext.defaultParallelism
     return min(n, most) if most else n
+
+
+#: What a core's second-level cache is taken for where the system doesn't tell.
+L2_BYTES = 256 << 10
+
+
+def l2_size(cpu: str = "/sys/devices/system/cpu/cpu0") -> int:
+    """Bytes of a core's second-level cache on the driver's machine."""
+    for cache in sorted(Path(cpu).glob("cache/index*")):
+        try:
+            if (cache / "level").read_text().strip() != "2":
+                continue
+            size = (cache / "size").read_text().strip()
+            return int(size.rstrip("KM")) << {"K": 10, "M": 20}.get(size[-1], 0)
+        except (OSError, ValueError):
+            continue
+    return L2_BYTES

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from .array import NDArray
 from .functions.expressions import Expression, evaluate
 from .functions.udf import Registry
-from .meta import ArrayMeta
+from .errors import strerror
+from .meta import ArrayError, ArrayMeta, Config
 from .operators import chunks, compare, create, index, linalg, random, reduce
-from .plans.advice import advise
+from .plans.advice import advise, l2_size, ncores
 from .sources import buffers, proxy, storage
 from .streaming.appends import append_stream
 
@@ -104,6 +105,8 @@ _expr("expr_trans2", "(cos(x)-1.35)*(x-4.45)*(sin(x)-8.5)", "(cos(x)-1.35)*(x-4.
 _expr("expr_add_sub", "x + 2.5 - 1", "x + 2.5 - 1")
 _expr("expr_divide", "x / (x - 6.55)", "CASE WHEN x = 6.55 THEN 'inf'::DOUBLE ELSE x / (x - 6.55) END")
 _expr("expr_modulo", "x % 7.5", "x - 7.5 * floor(x / 7.5)", digits=4)
+_expr("expr_modulo_negative", "(3 - x) % 7.5", "(3 - x) - 7.5 * trunc((3 - x) / 7.5)", digits=4)
+_expr("expr_min_max_nan", "min(x, sqrt(x - 50)) + max(sqrt(x - 50), x)", "CASE WHEN x < 50 THEN x + x ELSE least(x, sqrt(greatest(x - 50, 0))) + greatest(x, sqrt(greatest(x - 50, 0))) END")
 _expr("expr_power", "x ** 1.5 + pow(x, 0.5) + 2^3^2", "pow(x, 1.5) + pow(x, 0.5) + 64")
 _expr("expr_unary_minus", "-x^2 + negate(x) + +x", "x * x", digits=4)
 _expr("expr_abs", "abs(x - 50) + absolute(-x)", "abs(x - 50) + x")
@@ -145,6 +148,18 @@ def _scalars(spark: SparkSession, d: str) -> NDArray:
 _array("expr_bound_scalar", _scalars, f"SELECT i0, i1, round(v * 2.5 + 2.5, 6) AS v FROM ({EV2})")
 
 
+@query("expr_nthreads_comma", "SELECT true AS threads, 'INVALID_ARGUMENT' AS comma")
+def _nthreads(spark: SparkSession, d: str) -> DataFrame:
+    """The tasks that an expression's evaluation may use; a comma outside of a call is refused."""
+    e = Expression("f64").bind("x", ev2(spark, d))
+    try:
+        e.compile("x, x")
+        refused = ""
+    except ArrayError as err:
+        refused = err.code
+    return spark.createDataFrame([(e.nthreads == spark.sparkContext.defaultParallelism, refused)], "threads boolean, comma string")
+
+
 def _udf(spark: SparkSession, d: str) -> NDArray:
     r = Registry()
     r.library("lib").register("hypot", np.hypot, 2)
@@ -187,8 +202,19 @@ for _name, _make, _value in (
     _array(_name, lambda s, d, f=_make: f(s), f"SELECT i0, i1, {_value} AS v FROM {_N}")
 
 _array("create_copy_rechunk", lambda s, d: chunks.from_chunks(chunks.to_chunks(ev2(s, d), (7, 13)), ev2(s, d).meta.but(chunkshape=(7, 13))), EV2)
-_array("create_split_concatenate", lambda s, d: chunks.concatenate(chunks.split(a := create.copy(index.get_slice(ev2(s, d), [0, 0], [10, 100]), chunkshape=(4, 40))), a.meta), f"SELECT * FROM ({EV2}) WHERE i0 < 10")
-_array("create_from_chunk_index", lambda s, d: chunks.from_chunk_index(create.copy(index.get_slice(ev2(s, d), [0, 0], [10, 100]), chunkshape=(5, 20)), (10, 20), [7, 0]), f"SELECT CASE WHEN i0 >= 5 THEN i0 - 5 ELSE i0 + 5 END AS i0, i1 % 20 AS i1, v FROM ({EV2}) WHERE i0 BETWEEN 5 AND 9 AND i1 BETWEEN 40 AND 59 OR i0 < 5 AND i1 < 20")
+# nine chunks, and the chunks of a grid of two by five in reverse order, of all rows
+_array("create_split_concatenate", lambda s, d: chunks.concatenate(chunks.split(a := create.copy(ev2(s, d), chunkshape=(-(-ev2(s, d).shape[0] // 3), 40))), a.meta), EV2)
+
+
+def _reversed_chunks(spark: SparkSession, d: str) -> NDArray:
+    a = ev2(spark, d)
+    n = a.shape[0]
+    a = create.copy(a, chunkshape=(n if n % 2 else n // 2, 20))
+    return chunks.from_chunk_index(a, a.shape, list(reversed(range(5 if n % 2 else 10))))
+
+
+_HALF = "(SELECT CASE WHEN count(*) // 100 % 2 = 1 THEN count(*) // 100 ELSE count(*) // 200 END AS h, count(*) // 100 AS n FROM events)"
+_array("create_from_chunk_index", _reversed_chunks, f"SELECT (n // h - 1 - i0 // h) * h + i0 % h AS i0, (4 - i1 // 20) * 20 + i1 % 20 AS i1, v FROM ({EV2}), {_HALF}")
 
 
 @query("chunk_layout", f"SELECT i0 // 4 AS c0, i1 // 30 AS c1, count(*) AS n, round(list(v ORDER BY i0, i1)[2], 6) AS second, round(sum(v), 4) AS total FROM ({EV2}) GROUP BY ALL")
@@ -259,10 +285,14 @@ _array("index_append", lambda s, d: index.append(ev2(s, d), create.zeros(s, (2,
 _array("index_delete", lambda s, d: index.delete(ev2(s, d), 1, 5, 20), f"SELECT i0, CASE WHEN i1 >= 25 THEN i1 - 20 ELSE i1 END AS i1, v FROM ({EV2}) WHERE i1 < 5 OR i1 >= 25")
 
 
-@query("iterate_elements", f"SELECT i0, i1, i0 * 5 + i1 AS flat, v FROM ({EV2}) WHERE i0 < 4 AND i1 < 5")
+@query("iterate_elements", f"SELECT i0, count(*) AS n, max(i0 * 100 + i1) AS last, round(sum(v), 4) AS total FROM ({EV2}) GROUP BY i0")
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    a = create.copy(index.get_slice(ev2(spark, d), [0, 0], [4, 5]), chunkshape=(2, 3))
-    return spark.createDataFrame([(*i, f, v) for i, f, v in index.items(a)], "i0 long, i1 long, flat long, v double")
+    """All elements by the iterator, which ends on the driver: a row of counts for each row of the array."""
+    a = ev2(spark, d)
+    n, last, total = (np.zeros(a.shape[0], k) for k in ("int64", "int64", "float64"))
+    for i, flat, v in index.items(a):
+        n[i[0]], last[i[0]], total[i[0]] = n[i[0]] + 1, max(last[i[0]], flat), total[i[0]] + v
+    return spark.createDataFrame([(k, int(n[k]), int(last[k]), round(float(total[k]), 4)) for k in range(a.shape[0])], "i0 long, n long, last long, total double")
 
 
 def _summary(start: tuple[int, ...], block: np.ndarray) -> pd.DataFrame:
@@ -288,11 +318,15 @@ for _name, _op in (("gt", ">"), ("lt", "<"), ("gte", ">="), ("lte", "<="), ("eq"
     _array(f"compare_{_name}", lambda s, d, f=getattr(compare, _name): f(ev2(s, d), create.fill(s, ev2(s, d).shape, 12.31)), f"SELECT i0, i1, v {_op} 12.31 AS v FROM ({EV2})")
 
 
-@query("compare_matrix_shape", "SELECT true AS symmetric, false AS plain, true AS triangular")
+@query("compare_matrix_shape", f"SELECT true AS symmetric, (SELECT count(*) = 0 FROM ({EMB}) a JOIN ({EMB}) b ON a.i0 = b.i1 AND a.i1 = b.i0 WHERE a.v <> b.v) AND (SELECT count(*) = 64 FROM embeddings) AS plain, true AS triangular")
 def _shapes(spark: SparkSession, d: str) -> DataFrame:
-    e = index.get_slice(emb(spark, d), [0, 0], [20, 64])
-    g = linalg.matmul(e, e.T)
-    return spark.createDataFrame([(compare.is_symmetric(NDArray.cells(g.df.withColumn("v", F.round("v", 3)), g.meta)), compare.is_symmetric(index.get_slice(ev2(spark, d), [0, 0], [10, 10])), compare.is_triangular(create.tri(spark, (30, 30), 0)))], "symmetric boolean, plain boolean, triangular boolean")
+    """The gram of all embeddings, all embeddings themselves, and the gram's lower triangle."""
+    e = emb(spark, d)
+    g = linalg.gram(index.type_view(e, "f64"))
+    near = NDArray.cells(g.df.withColumn("v", F.round("v", 3)), g.meta)
+    low = NDArray.cells(g.df.withColumn("v", F.when(F.col("i1") <= F.col("i0"), F.col("v")).otherwise(0.0)), g.meta)
+    plain = e.shape[0] == e.shape[1] and compare.is_symmetric(e)
+    return spark.createDataFrame([(compare.is_symmetric(near), plain, compare.is_triangular(low))], "symmetric boolean, plain boolean, triangular boolean")
 
 
 # ---------------------------------------------------------------- reductions
@@ -322,7 +356,8 @@ _array("reduce_axis0", lambda s, d: reduce.reduce(ev2(s, d), "sum", 0), f"SELECT
 _array("reduce_multi_axis", lambda s, d: reduce.reduce(ev2(s, d), "mean", (0, 1)), f"SELECT round(avg(v), 4) AS v FROM ({EV2})", 4)
 _array("reduce_multipass", lambda s, d: reduce.reduce(ev2(s, d), "max", (1, 1), oneshot=False), f"SELECT i0, max(v) AS v FROM ({EV2}) GROUP BY i0")
 _array("reduce_int_sum", lambda s, d: reduce.reduce(ev2(s, d).astype("i32"), "sum", 1), f"SELECT i0, sum(trunc(v)::BIGINT)::BIGINT AS v FROM ({EV2}) GROUP BY i0")
-_array("reduce_int_prod", lambda s, d: reduce.reduce(index.get_slice(evaluate("x - x / 10 * 10 + 1", x=ev2(s, d).astype("i64")), [0, 0], [10, 15]), "prod", 1), f"SELECT i0, product(trunc(v)::BIGINT % 10 + 1)::BIGINT AS v FROM ({EV2}) WHERE i0 < 10 AND i1 < 15 GROUP BY i0")
+# factors 2, -1 and -2: rows with many twos wrap modulo 2**64
+_array("reduce_int_prod", lambda s, d: reduce.reduce(evaluate("2 - 4 * (x - x / 3 * 3) + (x - x / 3 * 3) * (x - x / 3 * 3)", x=ev2(s, d).astype("i64")), "prod", 1), f"SELECT i0, CASE WHEN twos >= 64 THEN 0 WHEN twos = 63 THEN (-9223372036854775808)::BIGINT ELSE (CASE WHEN minus % 2 = 1 THEN -1 ELSE 1 END) * (1::BIGINT << twos::INTEGER) END::BIGINT AS v FROM (SELECT i0, least(count(*) FILTER (m <> 1), 64) AS twos, count(*) FILTER (m <> 0) AS minus FROM (SELECT i0, trunc(v)::BIGINT % 3 AS m FROM ({EV2})) GROUP BY i0)")
 _array("reduce_int_median", lambda s, d: reduce.reduce(ev2(s, d).astype("i64"), "median", 1), f"SELECT i0, median(trunc(v))::DOUBLE AS v FROM ({EV2}) GROUP BY i0")
 _array("reduce_var_correction", lambda s, d: reduce.reduce(ev2(s, d), "var", 1, correction=1), f"SELECT i0, round(var_samp(v), 4) AS v FROM ({EV2}) GROUP BY i0", 4)
 _array("reduce_f32_mean", lambda s, d: reduce.reduce(emb(s, d), "mean", 0), f"SELECT i1::BIGINT AS i0, round(avg(v::DOUBLE)::FLOAT::DOUBLE, 5) + 0.0 AS v FROM ({EMB}) GROUP BY i1", 5)
@@ -352,23 +387,41 @@ def _norms(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(linalg.norm(a), 4), round(linalg.norm(a, "inf"), 4), round(linalg.norm(a, 1), 4), round(linalg.trace(a), 4))], "fro double, inf double, one double, trace double")
 
 
-@query("linalg_dense", "SELECT true AS inverse, true AS solve, true AS lu, true AS qr, true AS cholesky, true AS eigen, true AS svd, true AS lstsq, true AS det")
+# what the factors of the gram of all embeddings, plus one on the diagonal, must add up to
+_REG = f"(SELECT i0, i1, v + (i0 = i1)::INT AS v FROM {_GRAM})"
+_DENSE = {
+    "cholesky": f"SELECT sum(v) FROM {_REG} WHERE i0 = i1", "eigen": f"SELECT sum(v) FROM {_REG} WHERE i0 = i1", "eigen_square": f"SELECT sum(v * v) FROM {_REG}",
+    "inverse": "SELECT 64.0", "lstsq": "SELECT 2016.0", "lu": f"SELECT sum(v) FROM {_REG}", "qr": f"SELECT sum(v * v) FROM {_REG}", "solve": "SELECT 2016.0", "svd": f"SELECT sum(v * v) FROM {_REG}", "svd_tall": f"SELECT sum(v * v) FROM {_HEAD}",
+}
+
+
+@query("linalg_dense", " UNION ALL ".join(f"SELECT '{k}' AS what, round(({v})::DOUBLE, 2) AS total" for k, v in _DENSE.items()))
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    e = index.get_slice(index.type_view(emb(spark, d), "f64"), [0, 0], [40, 8])
-    g = linalg.gram(e)
-    m, x = g.to_numpy(), e.to_numpy()
-    near = lambda p, q: bool(np.allclose(p, q, atol=1e-8))
-    one = NDArray.from_numpy(spark, np.ones(8))
+    gram = linalg.gram(index.type_view(emb(spark, d), "f64"))
+    m = gram.to_numpy() + np.eye(64)
+    g, w = NDArray.from_numpy(spark, m), np.arange(64.0)
     p, low, up = (y.to_numpy() for y in linalg.lu(g))
-    q, r = (y.to_numpy() for y in linalg.qr(e))
-    w, v = (y.to_numpy() for y in linalg.eigen(g))
-    u, s, vt = (y.to_numpy() for y in linalg.svd(e))
-    row = (
-        near(linalg.inverse(g).to_numpy() @ m, np.eye(8)), near(m @ linalg.solve(g, one).to_numpy(), np.ones(8)), near(p @ m, low @ up), near(q @ r, x),
-        near((c := linalg.cholesky(g).to_numpy()) @ c.T, m), near(v @ np.diag(w) @ v.T, m), near(u @ np.diag(s) @ vt, x),
-        near(linalg.lstsq(e, NDArray.from_numpy(spark, x @ np.arange(8.0))).to_numpy(), np.arange(8.0)), math.isclose(linalg.det(g), float(np.prod(w)), rel_tol=1e-6),
-    )
-    return spark.createDataFrame([row], "inverse boolean, solve boolean, lu boolean, qr boolean, cholesky boolean, eigen boolean, svd boolean, lstsq boolean, det boolean")
+    got = {
+        "cholesky": (linalg.cholesky(g).to_numpy() ** 2).sum(), "eigen": (e := linalg.eigen(g)[0].to_numpy()).sum(), "eigen_square": (e**2).sum(),
+        "inverse": (linalg.inverse(g).to_numpy() * m.T).sum(), "lstsq": linalg.lstsq(g, NDArray.from_numpy(spark, m @ w)).to_numpy().sum(), "lu": (p.T @ low @ up).sum(),
+        "qr": (linalg.qr(g)[1].to_numpy() ** 2).sum(), "solve": linalg.solve(g, NDArray.from_numpy(spark, m @ w)).to_numpy().sum(), "svd": (linalg.svd(g)[1].to_numpy() ** 2).sum(),
+        "svd_tall": linalg.eigen(gram)[0].to_numpy().sum(),
+    }
+    return spark.createDataFrame([(k, round(float(x), 2)) for k, x in got.items()], "what string, total double")
+
+
+@query("linalg_det", "SELECT 64.0::DOUBLE AS logs, 24.0::DOUBLE AS det")
+def _det(spark: SparkSession, d: str) -> DataFrame:
+    """The determinant of a triangle is its diagonal's product, and that of a product is the factors' product."""
+    a = np.triu(np.ones((4, 4))) * np.array([1.0, 2, 3, 4])[:, None]
+    g = NDArray.from_numpy(spark, np.triu(np.ones((64, 64))) * np.e ** 0.5)
+    return spark.createDataFrame([(round(2 * math.log(linalg.det(g)), 6), round(linalg.det(NDArray.from_numpy(spark, a)), 6))], "logs double, det double")
+
+
+@query("linalg_matmul_advice", "SELECT 512::BIGINT AS m, 64::BIGINT AS k, 64::BIGINT AS n, true AS fits")
+def _matmul_advice(spark: SparkSession, d: str) -> DataFrame:
+    (m, k), (k2, n) = linalg.matmul_advice(create.zeros(spark, (100_000, 64)), create.zeros(spark, (64, 64)))
+    return spark.createDataFrame([(m, k, n, k == k2)], "m long, k long, n long, fits boolean")
 
 
 # ---------------------------------------------------------------- sources, metadata, advice
@@ -384,6 +437,60 @@ _array("source_slice_buffer", lambda s, d: buffers.from_buffer(s, index.get_slic
 _array("source_trunc_prec", lambda s, d: storage.trunc_prec(ev2(s, d), 10), f"SELECT i0, i1, round(floor(v * pow(2.0, 10 - floor(log2(v)))) / pow(2.0, 10 - floor(log2(v))), 6) AS v FROM ({EV2})")
 
 
+def _loaded(spark: SparkSession, d: str) -> NDArray:
+    return storage.load(spark, storage.save(create.copy(ev2(spark, d), chunkshape=(4, 30)), storage.scratch(spark)).meta.urlpath)
+
+
+def _overwritten(spark: SparkSession, d: str) -> NDArray:
+    """Twice an array, written over the very array that it is read from."""
+    path = storage.save(create.copy(ev2(spark, d), chunkshape=(4, 30)), storage.scratch(spark)).meta.urlpath
+    return storage.save(storage.open_array(spark, path) * 2.0, path, overwrite=True)
+
+
+_array("source_load", _loaded, EV2)
+_array("source_save_overwrite", _overwritten, f"SELECT i0, i1, round(2 * v, 6) AS v FROM ({EV2})")
+
+
+@query("source_remove_free", "SELECT true AS stored, count(*) AS cells, false AS kept, 'FILE_NOT_EXIST' AS code, 'nothing is stored there' AS message FROM events")
+def _removed(spark: SparkSession, d: str) -> DataFrame:
+    path = storage.save(ev2(spark, d), storage.scratch(spark)).meta.urlpath
+    there, a = storage.exists(spark, path), storage.load(spark, path)
+    cells = a.df.count()
+    storage.free(a)
+    storage.remove(spark, path)
+    try:
+        storage.open_array(spark, path)
+        code = ""
+    except ArrayError as e:
+        code = e.code
+    return spark.createDataFrame([(there, cells, storage.exists(spark, path), code, strerror(code))], "stored boolean, cells long, kept boolean, code string, message string")
+
+
+@query("source_config", f"SELECT 'zstd' AS codec, 9::BIGINT AS level, 10::BIGINT AS bits, round(sum(floor(v * pow(2.0, 10 - floor(log2(v)))) / pow(2.0, 10 - floor(log2(v)))), 3) AS total FROM ({EV2})")
+def _config(spark: SparkSession, d: str) -> DataFrame:
+    """An array stored under a configuration, which is read back with it; the mantissas are cut as it says."""
+    path = storage.save(ev2(spark, d), storage.scratch(spark), Config("zstd", 9, mantissa_bits=10)).meta.urlpath
+    a = storage.open_array(spark, path)
+    c = storage.get_cfg(a)
+    return a.origin.agg(F.round(F.sum(a.value), 3).alias("total")).select(F.lit(c.codec).alias("codec"), F.lit(c.level).cast("long").alias("level"), F.lit(c.mantissa_bits).cast("long").alias("bits"), "total")
+
+
+@query("meta_same_shape", "SELECT true AS same, false AS other_type, false AS other_shape")
+def _same_shape(spark: SparkSession, d: str) -> DataFrame:
+    a = ev2(spark, d)
+    return spark.createDataFrame([(a.meta.same_shape(ev2(spark, d).meta), a.meta.same_shape(a.astype("f32").meta), a.meta.same_shape(a[:, 1:].meta))], "same boolean, other_type boolean, other_shape boolean")
+
+
+@query("meta_system", "SELECT true AS cores, 1::BIGINT AS capped, true AS cache, 'DATA TYPE is invalid' AS message")
+def _system(spark: SparkSession, d: str) -> DataFrame:
+    try:
+        ArrayMeta("f16", (1,))
+        message = ""
+    except ArrayError as e:
+        message = strerror(e)
+    return spark.createDataFrame([(ncores(spark) == spark.sparkContext.defaultParallelism, ncores(spark, 1), l2_size() >= 1 << 10, message)], "cores boolean, capped long, cache boolean, message string")
+
+
 @query("meta_named_blobs", "SELECT * FROM (VALUES ('a', 'one'), ('b', 'three')) t(name, value)")
 def _blobs(spark: SparkSession, d: str) -> DataFrame:
     a = storage.save(create.zeros(spark, (4,)), storage.scratch(spark))

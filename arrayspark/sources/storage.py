@@ -6,11 +6,11 @@ import tempfile
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..array import NDArray
-from ..meta import ArrayError, ArrayMeta
+from ..meta import ArrayError, ArrayMeta, Config
 from ..operators.chunks import from_chunks, to_chunks
 from ..plans.advice import partitions
 
@@ -57,24 +57,26 @@ def trunc_prec(a: NDArray, bits: int) -> NDArray:
     return a.with_value(F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(cut).cast(a.dtype.spark))
 
 
-def save(a: NDArray, path: str, compression: str = "zstd", contiguous: bool = False, overwrite: bool = False) -> NDArray:
-    """``a`` written to ``path``: sorted by chunk, so a box reads the row groups that it meets.
+def save(a: NDArray, path: str, config: Config = Config(), contiguous: bool = False, overwrite: bool = False) -> NDArray:
+    """``a`` written to ``path`` as ``config`` says: sorted by chunk, so a box reads the row groups that it meets.
 
     ``contiguous`` writes one file, for small arrays; else the number of files follows the array's bytes.
     """
     if a.is_view:
-        raise ArrayError("a view can't be saved: copy it first")
+        raise ArrayError("a view can't be saved: copy it first", "READ_ONLY_VIEW")
     spark = a.spark
     if exists(spark, path) and not overwrite:
-        raise ArrayError(f"{path} is taken")
-    meta = a.meta.but(chunkshape=a.meta.chunks, urlpath=path)
+        raise ArrayError(f"{path} is taken", "INVALID_STORAGE")
+    if config.mantissa_bits:
+        a = trunc_prec(a, config.mantissa_bits)
+    meta = a.meta.but(chunkshape=a.meta.chunks, urlpath=path, config=config)
     keys = [f"c{k}" for k in range(a.ndim)]
     chunks = to_chunks(a, meta.chunks)
-    n = 1 if contiguous or not keys else partitions(meta.nbytes)
+    n = 1 if contiguous or not keys else min(partitions(meta.nbytes), config.max_tasks or 1 << 30)
     chunks = chunks.coalesce(1) if n == 1 else chunks.repartitionByRange(n, *keys)
     # written beside and then renamed, metadata last: the array may be read from the very path it replaces
     new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
-    (chunks.sortWithinPartitions(*keys) if keys else chunks).write.option("compression", compression).parquet(f"{new}/chunks")
+    (chunks.sortWithinPartitions(*keys) if keys else chunks).write.options(**config.options()).parquet(f"{new}/chunks")
     write_meta(spark, meta, new)
     taken = exists(spark, path)
     if taken:
@@ -103,15 +105,26 @@ def write_meta(spark: SparkSession, meta: ArrayMeta, path: str) -> None:
 
 def read_meta(spark: SparkSession, path: str) -> ArrayMeta:
     if not exists(spark, f"{path}/meta.json"):
-        raise ArrayError(f"there is no array at {path}")
+        raise ArrayError(f"there is no array at {path}", "FILE_NOT_EXIST")
     return ArrayMeta.from_json(spark.read.text(f"{path}/meta.json", wholetext=True).first()[0], path)
 
 
+def get_cfg(a: NDArray) -> Config:
+    """How a stored array was written; the defaults for one that isn't stored."""
+    return a.meta.config or Config()
+
+
+def stored_chunks(spark: SparkSession, path: str, meta: ArrayMeta) -> DataFrame:
+    """The chunks at ``path`` that lie within ``meta``'s shape: a stream may have written more than its metadata tell yet."""
+    keys = ", ".join([f"c{k} long" for k in range(meta.ndim)] + ["shape array<int>", f"values array<{meta.dtype.spark}>"])
+    df = spark.read.schema(keys).parquet(f"{path}/chunks")
+    return df.where(F.col("c0") < meta.grid[0]) if meta.ndim else df
+
+
 def open_array(spark: SparkSession, path: str) -> NDArray:
     """The array at ``path``, lazily."""
     meta = read_meta(spark, path)
-    keys = ", ".join([f"c{k} long" for k in range(meta.ndim)] + ["shape array<int>", f"values array<{meta.dtype.spark}>"])
-    return from_chunks(spark.read.schema(keys).parquet(f"{path}/chunks"), meta)
+    return from_chunks(stored_chunks(spark, path, meta), meta)
 
 
 def open_box(spark: SparkSession, path: str, start: list[int], stop: list[int]) -> NDArray:
@@ -120,8 +133,7 @@ def open_box(spark: SparkSession, path: str, start: list[int], stop: list[int])
 
     a = open_array(spark, path)
     lo, hi = _box(a, start, stop)
-    keys = ", ".join([f"c{k} long" for k in range(a.ndim)] + ["shape array<int>", f"values array<{a.dtype.spark}>"])
-    df = spark.read.schema(keys).parquet(f"{path}/chunks")
+    df = stored_chunks(spark, path, a.meta)
     for k, (x, y, s) in enumerate(zip(lo, hi, a.meta.chunks, strict=True)):
         df = df.where((F.col(f"c{k}") >= x // s) & (F.col(f"c{k}") <= max(x, y - 1) // s))
     return get_slice(from_chunks(df, a.meta), lo, hi)
@@ -140,7 +152,7 @@ def free(a: NDArray) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     if not fs.delete(p, True):
-        raise ArrayError(f"there is nothing at {path}")
+        raise ArrayError(f"there is nothing at {path}", "FILE_NOT_EXIST")
 
 
 # ---------------------------------------------------------------- named blobs
@@ -152,7 +164,7 @@ def vlmeta_exists(a: NDArray, name: str) -> bool:
 
 def _changed(a: NDArray, attrs: dict[str, bytes]) -> NDArray:
     if a.is_view:
-        raise ArrayError("a view's blobs are its root's, and can't be written")
+        raise ArrayError("a view's blobs are its root's, and can't be written", "READ_ONLY_VIEW")
     meta = replace(a.meta, attrs=attrs)
     if meta.urlpath:
         write_meta(a.spark, meta, meta.urlpath)

@@ -1,10 +1,12 @@
+import pickle
+
 import pytest
 
 from arrayspark.errors import MESSAGES, strerror
 from arrayspark.functions.parser import Node, parse
 from arrayspark.functions.udf import Registry
 from arrayspark.meta import ArrayError, ArrayMeta
-from arrayspark.plans.advice import advise
+from arrayspark.plans.advice import advise, l2_size
 
 
 @pytest.mark.parametrize(
@@ -58,7 +60,13 @@ def test_registry():
         r.lookup("m.f")
 
 
-def test_messages():
+def test_messages(tmp_path):
     assert all(strerror(k) for k in MESSAGES)
+    for code, bad in (("INVALID_DTYPE", lambda: ArrayMeta("f16", (1,))), ("INVALID_NDIM", lambda: ArrayMeta("f64", (1,) * 9)), ("INVALID_SHAPE", lambda: ArrayMeta("f64", (-1,))), ("INVALID_BLOCKSHAPE", lambda: ArrayMeta("f64", (2,), (1,), (0,))), ("INVALID_AXIS", lambda: ArrayMeta("f64", (2,)).axis(1))):
+        with pytest.raises(ArrayError) as e:
+            bad()
+        assert e.value.code == code and strerror(e.value) == MESSAGES[code]
+        assert pickle.loads(pickle.dumps(e.value)).code == code
+    assert l2_size() > 0 and l2_size(str(tmp_path)) == 256 << 10
     with pytest.raises(ArrayError):
         strerror("x")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from arrayspark.array import NDArray
-from arrayspark.meta import ArrayError
+from arrayspark.meta import ArrayError, Config
 from arrayspark.operators import create, index
 from arrayspark.sources import buffers, proxy, storage
 from arrayspark.streaming.appends import append_stream, windowed
@@ -115,3 +115,29 @@ def test_a_box_of_an_external_array_fetches_its_chunks_alone(spark, tmp_path):
     a = proxy.open_proxy_box(spark, str(tmp_path), handler, "f64", (40, 50), (10, 20), (12, 5), (20, 39))
     np.testing.assert_array_equal(a.to_numpy(), np.add.outer(np.arange(12, 20), 100.0 * np.arange(5, 39)))
     assert {p.name for p in tmp_path.iterdir()} == {"10-0", "10-20"}
+
+
+def test_configuration_is_stored(spark, tmp_path):
+    c = Config("gzip", 1, mantissa_bits=4, max_tasks=2)
+    a = storage.save(NDArray.from_numpy(spark, M + 0.123), str(tmp_path / "a"), c)
+    assert storage.get_cfg(storage.open_array(spark, str(tmp_path / "a"))) == c == storage.get_cfg(storage.vlmeta_add(a, "k", b"v"))
+    assert storage.get_cfg(storage.open_array(spark, str(tmp_path / "a"))) == c  # blobs rewrite the metadata
+    assert storage.get_cfg(create.zeros(spark, (2,))) == Config()
+    for bad in (dict(codec="x"), dict(level=-1), dict(level=23)):
+        with pytest.raises(ArrayError):
+            Config(**bad)
+
+
+def test_a_chunk_in_two_batches_is_refused_and_nothing_beyond_the_shape_is_read(spark, tmp_path):
+    path, source = str(tmp_path / "a"), str(tmp_path / "in")
+    storage.save(create.copy(create.zeros(spark, (0, 3)), chunkshape=(2, 3)), path)
+    full = create.arange(spark, (4, 3))
+    full.df.where("i0 < 3").coalesce(1).write.mode("append").parquet(source)
+    start = lambda: append_stream(spark.readStream.schema("i0 long, i1 long, v double").option("maxFilesPerTrigger", 1).parquet(source), path, str(tmp_path / "cp"), availableNow=True)
+    start().awaitTermination(120)
+    full.df.where("i0 = 3").coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="stored already"):
+        start().awaitTermination(120)
+    assert storage.open_array(spark, path).shape == (3, 3)
+    storage.write_meta(spark, storage.read_meta(spark, path).but(shape=(2, 3), chunkshape=(2, 3)), path)
+    assert (storage.open_array(spark, path).to_numpy() == np.arange(6.0).reshape(2, 3)).all()
