@@ -391,7 +391,7 @@ def _norms(spark: SparkSession, d: str) -> DataFrame:
 _REG = f"(SELECT i0, i1, v + (i0 = i1)::INT AS v FROM {_GRAM})"
 _DENSE = {
     "cholesky": f"SELECT sum(v) FROM {_REG} WHERE i0 = i1", "eigen": f"SELECT sum(v) FROM {_REG} WHERE i0 = i1", "eigen_square": f"SELECT sum(v * v) FROM {_REG}",
-    "inverse": "SELECT 64.0", "lstsq": "SELECT 2016.0", "lu": f"SELECT sum(v) FROM {_REG}", "qr": f"SELECT sum(v * v) FROM {_REG}", "solve": "SELECT 2016.0", "svd": f"SELECT sum(v * v) FROM {_REG}", "svd_tall": f"SELECT sum(v * v) FROM {_HEAD}",
+    "inverse": "SELECT 64.0", "lstsq": "SELECT 2016.0", "lu": f"SELECT sum(v) FROM {_REG}", "qr": f"SELECT sum(v * v) FROM {_REG}", "solve": "SELECT 2016.0", "svd": f"SELECT sum(v * v) FROM {_REG}", "eigen_gram": f"SELECT sum(v * v) FROM {_HEAD}",
 }
 
 
@@ -405,7 +405,7 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
         "cholesky": (linalg.cholesky(g).to_numpy() ** 2).sum(), "eigen": (e := linalg.eigen(g)[0].to_numpy()).sum(), "eigen_square": (e**2).sum(),
         "inverse": (linalg.inverse(g).to_numpy() * m.T).sum(), "lstsq": linalg.lstsq(g, NDArray.from_numpy(spark, m @ w)).to_numpy().sum(), "lu": (p.T @ low @ up).sum(),
         "qr": (linalg.qr(g)[1].to_numpy() ** 2).sum(), "solve": linalg.solve(g, NDArray.from_numpy(spark, m @ w)).to_numpy().sum(), "svd": (linalg.svd(g)[1].to_numpy() ** 2).sum(),
-        "svd_tall": linalg.eigen(gram)[0].to_numpy().sum(),
+        "eigen_gram": linalg.eigen(gram)[0].to_numpy().sum(),
     }
     return spark.createDataFrame([(k, round(float(x), 2)) for k, x in got.items()], "what string, total double")
 
