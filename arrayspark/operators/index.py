@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce as fold
+from itertools import islice, repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,10 +244,38 @@ def delete(a: NDArray, axis: int, start: int, length: int) -> NDArray:
     return NDArray.cells(out, a.meta.but(shape=[m - length * (k == axis) for k, m in enumerate(a.shape)], urlpath=None))
 
 
+def _ordered(a: NDArray) -> DataFrame:
+    order = [F.expr(f"i{k} div {c}") for k, c in enumerate(a.meta.chunks)] + [F.col(f"i{k}") for k in range(a.ndim)]
+    return a.df.orderBy(*order)
+
+
 def items(a: NDArray) -> Iterator[tuple[tuple[int, ...], int, object]]:
-    """(index, flat index, value) in chunk order and row-major order within a chunk, fetched a partition at a time."""
-    size = a.meta.chunks
-    order = [F.expr(f"i{k} div {c}") for k, c in enumerate(size)] + [F.col(f"i{k}") for k in range(a.ndim)]
-    for r in a.df.orderBy(*order).toLocalIterator():
+    """(index, flat index, value) in chunk order and row-major order within a chunk, fetched a partition at a time.
+
+    Every cell comes to the driver; :func:`map_items` iterates where the cells are.
+    """
+    for r in _ordered(a).toLocalIterator():
         index = tuple(r[:-1])
         yield index, sum(x * s for x, s in zip(index, a.meta.strides, strict=True)), r[-1]
+
+
+def map_items(a: NDArray, function: Callable[[Iterator[tuple[tuple[int, ...], int, object]]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of ``function(elements)`` for each run of :func:`items`, made in the task that has the run.
+
+    The runs one after the other are all of ``items``; a run may be empty, and may begin and end within a chunk.
+    """
+    strides = a.meta.strides
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, ...], int, object]]:
+        for pdf in batches:
+            index = [pdf[c].to_numpy() for c in pdf.columns[:-1]]
+            flat = sum((x * s for x, s in zip(index, strides, strict=True)), np.zeros(len(pdf), "int64"))
+            at = zip(*[x.tolist() for x in index]) if index else repeat(())
+            yield from zip(at, flat.tolist(), pdf["v"].tolist())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = iter(function(elements(batches)))
+        while some := list(islice(rows, 10_000)):
+            yield pd.DataFrame(some)  # columns by position
+
+    return _ordered(a).mapInPandas(run, schema)

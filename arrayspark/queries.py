@@ -7,7 +7,7 @@ p_partkey, with p_size on the same rows), ``emb`` (embeddings by vec_id and comp
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -302,14 +302,24 @@ _array("index_append", lambda s, d: index.append(ev2(s, d), create.zeros(s, (2,
 _array("index_delete", lambda s, d: index.delete(ev2(s, d), 1, 5, 20), f"SELECT i0, CASE WHEN i1 >= 25 THEN i1 - 20 ELSE i1 END AS i1, v FROM ({EV2}) WHERE i1 < 5 OR i1 >= 25")
 
 
+def _counts(elements: Iterator[tuple[tuple[int, ...], int, float]]) -> Iterator[tuple[int, int, int, float]]:
+    """Row, number, greatest flat index and sum of the elements that follow each other in one row."""
+    row = n = last = total = None
+    for i, flat, v in elements:
+        if i[0] != row:
+            if row is not None:
+                yield row, n, last, total
+            row, n, last, total = i[0], 0, flat, 0.0
+        n, last, total = n + 1, max(last, flat), total + v
+    if row is not None:
+        yield row, n, last, total
+
+
 @query("iterate_elements", f"SELECT i0, count(*) AS n, max(i0 * 100 + i1) AS last, round(sum(v), 4) AS total FROM ({EV2}) GROUP BY i0")
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    """All elements by the iterator, which ends on the driver: a row of counts for each row of the array."""
-    a = ev2(spark, d)
-    n, last, total = (np.zeros(a.shape[0], k) for k in ("int64", "int64", "float64"))
-    for i, flat, v in index.items(a):
-        n[i[0]], last[i[0]], total[i[0]] = n[i[0]] + 1, max(last[i[0]], flat), total[i[0]] + v
-    return spark.createDataFrame([(k, int(n[k]), int(last[k]), round(float(total[k]), 4)) for k in range(a.shape[0])], "i0 long, n long, last long, total double")
+    """All elements by the iterator, in the tasks that have them: a row of counts for each row of the array."""
+    parts = index.map_items(ev2(spark, d), _counts, "i0 long, n long, last long, total double")
+    return parts.groupBy("i0").agg(F.sum("n").alias("n"), F.max("last").alias("last"), rounded(F.sum("total"), 4).alias("total"))
 
 
 def _summary(start: tuple[int, ...], block: np.ndarray) -> pd.DataFrame:

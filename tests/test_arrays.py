@@ -380,3 +380,11 @@ def test_index_lists_move_no_cells(spark, tmp_path):
         plan = b.df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     assert "PushedFilters: [In(i0" in got.df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind, shape, chunk", [("f64", (7, 9), (3, 4)), ("u64", (5, 2, 3), (2, 2, 2)), ("bool", (11,), (4,)), ("i8", (), None), ("f32", (0, 3), None)])
+def test_elements_are_walked_in_their_tasks_in_the_order_of_the_iterator(spark, kind, shape, chunk):
+    x = np.arange(int(np.prod(shape))).reshape(shape).astype(DTYPES[kind].numpy)
+    a = NDArray.from_numpy(spark, x, chunkshape=chunk)
+    out = index.map_items(a, lambda elements: (([*i], f, float(v)) for i, f, v in elements), "at array<long>, flat long, v double")
+    assert [(tuple(r[0]), r[1], r[2]) for r in out.collect()] == [(i, f, float(v)) for i, f, v in index.items(a)]

@@ -79,3 +79,12 @@ def test_rounding(spark, digits):
     want = [c.execute(f"SELECT round(?::DOUBLE, {digits})", [v]).fetchall()[0][0] for v in x]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").coalesce(1).select(q.rounded(q.F.col("v"), digits)).collect()]
     assert [repr(v + 0.0) for v in got] == [repr(v + 0.0) for v in want] == [repr(q.nearest(v, digits) + 0.0) for v in x]
+
+
+def test_elements_stay_off_the_driver(spark, con, monkeypatch):
+    def fetched(*_):
+        raise AssertionError("cells are fetched by the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", fetched)
+    df = q.QUERIES["iterate_elements"](spark, D)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(q.SQL["iterate_elements"]).fetchall())
